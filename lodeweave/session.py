@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,3 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the Arrow functions."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lodeweave-")) / "lodeweave.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, Path("lodeweave") / p.relative_to(home))
+    sc.addPyFile(str(target))
