@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import knn, mixing, neardup, packing, survivorship
+from lodeweave.llm import knn, mixing, neardup, packing, pii, survivorship
 from lodeweave.session import table
 
 
@@ -22,6 +22,8 @@ def queries() -> dict:
         "p6_unused": lambda s, d: packing.pack_summary(table(s, d, "documents"), table(s, d, "pack_capacities")),
         "p7_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.mixture_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_found": lambda s, d: pii.findings(table(s, d, "documents")),
+        "p8_redacted": lambda s, d: pii.redacted(table(s, d, "documents")),
     }
 
 
