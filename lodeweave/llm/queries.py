@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import knn, mixing, neardup, packing, pii, survivorship
+from lodeweave.llm import knn, mixing, neardup, packing, pii, scanrepair, survivorship
 from lodeweave.session import table
 
 
@@ -15,6 +15,8 @@ def queries() -> dict:
     return {
         "p1_found": lambda s, d: survivorship.survivors(table(s, d, "memory_entries")).select("memory_id"),
         "p1_golden": lambda s, d: survivorship.survivors(table(s, d, "memory_entries")),
+        "p2_found": lambda s, d: scanrepair.noise(table(s, d, "source_chunks"), table(s, d, "source_nodes")),
+        "p2_repaired": lambda s, d: scanrepair.repaired(table(s, d, "source_chunks"), table(s, d, "source_nodes")),
         "p4_found": lambda s, d: neardup.near_duplicate_pairs(_records(s, d)),
         "p4_groups": lambda s, d: neardup.near_duplicate_groups(_records(s, d)),
         "p5_found": lambda s, d: knn.neighbour_pairs(knn.nearest(table(s, d, "memory_entries"), table(s, d, "knn_probes"))),
