@@ -24,7 +24,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sp
     ``extra`` is a further condition on both sides' columns. Rows with a null key match nothing.
     """
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("__hot", F.lit(True)))
-    l = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
+    l = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).select(*left.columns, "__salt")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     r = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))).drop("__hot")
     r = r.select(*(F.col(c).alias(f"__r_{c}") if c in keys or c == "__salt" else F.col(c) for c in r.columns))
