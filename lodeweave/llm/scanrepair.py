@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.skew import salted_join
+from lodeweave.session import partitions
 
 SHARE = 2.0**-20  # a word or pair is kept if it makes up this share of the corpus: at most 2**20 of them
 DOMINANCE = 6.0  # how much more frequent its look-alike must be for a word to be taken for a misreading
@@ -260,7 +261,9 @@ def repaired(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     with no kinds.
     """
     held = chunks.sparkSession.sparkContext.broadcast(corpus_counts(chunks))
-    rows = chunks.select("chunk_id", "source_id", "section_title", "text_preview").distinct()
+    columns = ["chunk_id", "source_id", "section_title", "text_preview"]
+    # By number, so that the decoding keeps all cores busy on small inputs too; distinct needs no further exchange.
+    rows = chunks.select(*columns).repartition(partitions(chunks.sparkSession), *columns).distinct()
     rows = rows.withColumn("k", F.coalesce("source_id", F.concat(F.lit("\u0000"), F.coalesce("chunk_id", F.lit("")))))
     titles = sources.filter("source_id is not null").groupBy(F.col("source_id").alias("k")).agg(F.max("title").alias("title"))
     known = salted_join(rows, titles, ["k"], "left", F.col("chunk_id"))
