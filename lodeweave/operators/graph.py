@@ -119,9 +119,10 @@ def bridges(nodes: DataFrame, edges: DataFrame, min_shared: int = 2, limit: int
     holds = edges.filter(F.col("rel_type").isin(*shared_by)).select("src_id", "dst_id").distinct().join(own, F.col("src_id") == F.col("node_id")).select("dst_id", "src_id", "domain")
     a = holds.select("dst_id", F.col("src_id").alias("node_a"), F.col("domain").alias("domain_a"))
     b = holds.select("dst_id", F.col("src_id").alias("node_b"), F.col("domain").alias("domain_b"))
-    pairs = a.join(b, "dst_id").filter("node_a < node_b and domain_a <> domain_b").groupBy("node_a", "node_b", "domain_a", "domain_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    pairs = a.join(b, "dst_id").filter("node_a < node_b and domain_a <> domain_b").groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     linked = edges.filter(F.col("rel_type").isin(*bridged_by)).select(F.least("src_id", "dst_id").alias("node_a"), F.greatest("src_id", "dst_id").alias("node_b")).distinct()
     top = pairs.join(linked, ["node_a", "node_b"], "left_anti").orderBy(F.desc("shared"), "node_a", "node_b").limit(limit)
+    top = top.join(own.select(F.col("node_id").alias("node_a"), F.col("domain").alias("domain_a")), "node_a").join(own.select(F.col("node_id").alias("node_b"), F.col("domain").alias("domain_b")), "node_b")
     both = top.join(holds.select("dst_id", F.col("src_id").alias("node_a")), "node_a").join(holds.select("dst_id", F.col("src_id").alias("node_b")), ["dst_id", "node_b"])
     named = both.join(nodes.select(F.col("node_id").alias("dst_id"), "name"), "dst_id").groupBy("node_a", "node_b", "domain_a", "domain_b", "shared").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("shared_names"))
     return named

@@ -97,8 +97,8 @@ Q = {
     "evidence_direction": (lambda s, d: V.direction(ser(s, d), "+"), _STEP + """
         , g as (select series_id, count(*) n, arg_min(y, i) f, arg_max(y, i) l, bool_and(dy > 0) mono from sp group by 1)
         select series_id, case when n < 2 or abs(l - f) <= 1e-6 * case when (abs(f) + abs(l)) / 2 = 0 then 1e0 else (abs(f) + abs(l)) / 2 end then 'FLAGGED' when l < f then 'REFUTED' when mono then 'VERIFIED' else 'VERIFIED_WITH_CAVEAT' end verdict from g"""),
-    "evidence_optimum": (lambda s, d: V.optimum(ser(s, d).filter("series_id like 'sup:%'"), "+"), _STEP + """
-        , b as (select series_id, count(*) n, min({'y': -y, 'i': i}).i as top from sp where series_id like 'sup:%' group by 1),
+    "evidence_optimum": (lambda s, d: V.optimum(ser(s, d), "+"), _STEP + """
+        , b as (select series_id, count(*) n, min({'y': -y, 'i': i}).i as top from sp group by 1),
         u as (select b.series_id, n, top, coalesce(bool_and(case when i < top then dy > 0 end), true) rises from sp join b using (series_id) group by 1, 2, 3)
         select series_id, top as "at", case when n < 2 then 'FLAGGED' when not rises then 'REFUTED' when top < n - 1 then 'VERIFIED_WITH_CAVEAT' else 'VERIFIED' end verdict from u"""),
     "evidence_invariance": (lambda s, d: V.invariance(ser(s, d), cov_max=0.6, range_max=1999.0), """
@@ -125,7 +125,7 @@ Q = {
     "evidence_lookup": (lambda s, d: V.lookup(ser(s, d), ser(s, d).select("series_id", F.explode(F.array(F.lit(-5.0), F.lit(7.25), F.lit(1997.5), F.lit(9999.0))).alias("at")).distinct()), """
         , w as (select *, lead(x) over v nx, lead(y) over v ny, row_number() over v = 1 f from series window v as (partition by series_id order by x)), r as (select distinct series_id, unnest([-5e0, 7.25e0, 1997.5e0, 9999e0]) a from series)
         select r.series_id, a as "at", round(case when nx is null or a <= x then y else y + (a - x) / (nx - x) * (ny - y) end, 6) y from r join w on r.series_id = w.series_id and (f or a >= x) and a < coalesce(nx, 'infinity'::double)"""),
-    "evidence_sizing": (lambda s, d: V.sizing(ser(s, d).withColumn("at", F.col("x")).filter("x < 10"), 5000.0, 2.0), "select series_id, x as \"at\", round(5000 / y, 6) multiplicity, round(5000 / y * 2, 6) total_width from series where x < 10"),
+    "evidence_sizing": (lambda s, d: V.sizing(ser(s, d).withColumn("at", F.col("x")), 5000.0, 2.0), "select series_id, x as \"at\", round(5000 / y, 6) multiplicity, round(5000 / y * 2, 6) total_width from series"),
     "evidence_envelope": (lambda s, d: V.envelope(_ops(s, d)), f"""
         , o as (select *, case metric when 'gbw' then gm / (2 * pi() * c) when 'gain_db' then 20 * log10(gm / (gds_n + gds_p)) end p, case metric when 'gbw' then 0.25 when 'gain_db' then 0.1 end band from {_OPS} z),
         r as (select *, case when metric like '%\\_db' escape '\\' then pow(10e0, (measured - p) / 20) else measured / p end ratio from o)

@@ -64,10 +64,10 @@ def vecs(s, d):
 
 
 def _asked(s, d):
-    return vecs(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+    return vecs(s, d).filter("id % 100 = 0").select(F.col("id").alias("query_id"), "v")
 
 
-_KNN = """, k as (select q.concept_id query_id, b.concept_id id, list_cosine_similarity(q.embedding::double[], b.embedding::double[]) s, b.source_id sb, q.source_id sa from concept_vectors q join concept_vectors b on q.concept_id % 50 = 0 and b.concept_id <> q.concept_id),
+_KNN = """, k as (select q.concept_id query_id, b.concept_id id, list_cosine_similarity(q.embedding::double[], b.embedding::double[]) s, b.source_id sb, q.source_id sa from concept_vectors q join concept_vectors b on q.concept_id % 100 = 0 and b.concept_id <> q.concept_id),
 kr as (select *, row_number() over (partition by query_id order by round(s, 9) desc, id) r from k)"""
 
 

@@ -54,9 +54,9 @@ Q = {
         select doc_id, section, coalesce(trim(regexp_replace(max(case when h then line end), '^#+ ', '')), 'Untitled') title, min(pos) first_pos, count(*) n_lines, sum(length(line)) n_chars from g group by 1, 2"""),
     "text_page_bounds": (lambda s, d: view(s, d, "chunks").select("chunk_id", T.page_bounds(F.col("pages"))[0].alias("first_page"), T.page_bounds(F.col("pages"))[1].alias("last_page")), _PAGES.replace("source_id,", "chunk_id,") + " select chunk_id, a first_page, b last_page from pg"),
     "text_page_range": (lambda s, d: T.page_range(view(s, d, "chunks")), _PAGES + " select source_id, case when min(a) = max(b) then min(a)::varchar else min(a)::varchar || '-' || max(b)::varchar end pages from pg group by 1"),
-    "text_page_at": (lambda s, d: T.page_at(T.lines(docs(s, d)).filter("pos % 3 = 0").select("doc_id", "pos"), T.lines(docs(s, d)).filter("pos > 0 and pos % 5 = 2").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 100).cast("int").alias("page"))), _LINES + """
+    "text_page_at": (lambda s, d: T.page_at(T.lines(docs(s, d)).select("doc_id", "pos"), T.lines(docs(s, d)).filter("pos > 0 and pos % 5 = 2").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 100).cast("int").alias("page"))), _LINES + """
         , st as (select doc_id, pos st, pos + 100 page from ln where pos > 0 and pos % 5 = 2)
-        select l.doc_id, l.pos, coalesce(arg_max(page, st) filter (where st <= l.pos), arg_min(page, st)) page from ln l left join st using (doc_id) where l.pos % 3 = 0 group by 1, 2"""),
+        select l.doc_id, l.pos, coalesce(arg_max(page, st) filter (where st <= l.pos), arg_min(page, st)) page from ln l left join st using (doc_id) group by 1, 2"""),
     "text_chunked": (lambda s, d: T.chunked(docs(s, d), 800, 0, "\n").select("chunk_id", "doc_id", F.length("text").alias("n"), "token_estimate"), None),
     "text_chunked_overlap": (lambda s, d: T.chunked(docs(s, d), 900, 60), None),
     "text_heading_kinds": (lambda s, d: T.lines(docs(s, d)).select(T.heading_kind(F.col("line")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), _LINES + r"""
