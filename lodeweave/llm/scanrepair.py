@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeweave.operators.skew import salted_join
 from lodeweave.session import partitions
 
-SHARE = 2.0**-20  # a word or pair is kept if it makes up this share of the corpus: at most 2**20 of them
+SHARE = 2.0**-22  # a word or pair is kept if it occurs this often per character of the corpus: at most 2**21 of each
 DOMINANCE = 6.0  # how much more frequent its look-alike must be for a word to be taken for a misreading
 KINDS = ("hyphen", "misread", "header", "page_no")
 
@@ -26,6 +26,7 @@ _HYPHENS = "-‐­¬‑"
 _WORD = re.compile(r"(?:[^\W_]|(?<=\w)\||\|(?=[^\W_]))+(?:_[^\W_]+)*")
 _BREAK = re.compile(rf"([^\W\d_][^\W_]*)[{_HYPHENS}]\s*$")
 _JOINED = re.compile(rf"[^\W\d_]+[{_HYPHENS}][^\S\n]*\n\s*\S*")  # a word broken over a line end tells nothing
+_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _HEAD = re.compile(r"\s*([^\W_]*[^\W\d_][^\W_]*)")
 _PAGE = re.compile(r"\s*[-–—~\[(|]?\s*(?:(?:p|pg|pp)\.|page|seite)?\s*(?:\d{1,4}(?:\s+(?:of|/)\s+\d{1,4})?|[ivxlc]{1,7})\s*[-–—~\])|]?\s*", re.I)
 _TRANS = str.maketrans(STROKES)
@@ -37,19 +38,15 @@ def shape(word: str) -> str:
     return word.lower().translate(_TRANS)
 
 
-def grams(text: str) -> Counter:
+def grams(text: str) -> list[str]:
     """Words, pairs of words (numbers as #) and hyphenated words inside lines of one text."""
-    out: Counter = Counter()
+    out: list[str] = []
     for line in _JOINED.sub("\n", text.lower()).splitlines():
-        last = None
-        for w in _WORD.findall(line):
-            w = w if any(c.isalpha() for c in w) else "#"
-            out[w] += 1
-            if last:
-                out[f"{last} {w}"] += 1
-            last = w
-        for w in re.findall(r"[^\W\d_]+-[^\W\d_]+", line):
-            out[w] += 1
+        ws = ["#" if w.isdigit() else w for w in _WORD.findall(line)]
+        out += ws
+        out += [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+        if "-" in line:
+            out += _COMPOUND.findall(line)
     return out
 
 
@@ -69,11 +66,12 @@ def _rows(c):
 
 
 def corpus_counts(chunks: DataFrame, share: float = SHARE) -> dict[str, int]:
-    """Counts over all texts of the words and pairs that make up ``share`` of all words: at most 2/share entries whatever the corpus."""
+    """Counts over all texts of the words and pairs that occur ``share`` times per character: a word takes two characters
+    with its blank, so at most 1 / (2 share) words and as many pairs are kept, whatever the corpus."""
     parts = chunks.filter("text_preview is not null").select("text_preview").mapInArrow(_counted, "gram string, n bigint")
     every = parts.groupBy("gram").agg(F.sum("n").alias("n"))
-    words = parts.filter(~F.col("gram").contains(" ")).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    return {r.gram: r.n for r in every.filter(F.col("n") >= words * F.lit(share)).collect()}
+    size = chunks.agg(F.coalesce(F.sum(F.length("text_preview")), F.lit(0))).scalar()
+    return {r.gram: r.n for r in every.filter(F.col("n") >= size * F.lit(share)).collect()}
 
 
 class Channel:
