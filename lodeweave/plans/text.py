@@ -83,7 +83,7 @@ Q = {
         g as (select chunk_id, count(*) n, count(*) filter (where length(coalesce(description, '')) >= 10) f, count(*) filter (where contains(name, '_') and not contains(name, ' ')) sn from mn where name is not null group by 1),
         j as (select c.chunk_id, length(coalesce(text_preview, '')) ln, coalesce(n, 0) n, coalesce(f, 0) f, coalesce(sn, 0) sn from chunks c left join g using (chunk_id))
         select chunk_id, n n_entities, concat_ws(';', case when n < 1 then 'entities' end, case when n > 0 and f < 0.5 * n then 'descriptions' end, case when n > 0 and sn > 0.5 * n then 'snake_case' end, case when n < greatest(1, ln // 2000) then 'density' end) reasons from j"""),
-    "text_secrets_redacted": (lambda s, d: view(s, d, "supplier").select("s_suppkey", T.secrets_redacted(F.concat(F.lit("authorization: Basic abc"), "s_suppkey", F.lit("\napi_key="), "s_name", F.lit(" token: x9 ok bearer q."), "s_suppkey")).alias("clean")), None),
+    "text_secrets_redacted": (lambda s, d: view(s, d, "supplier").select("s_suppkey", T.secrets_redacted(F.concat(F.lit("authorization: Basic abc"), "s_suppkey", F.lit("\napi_key="), "s_name", F.lit(" token: x9 ok bearer q."), "s_suppkey")).alias("clean")), "select s_suppkey, 'authorization: [redacted]' || chr(10) || 'api_key=[redacted] token: [redacted] ok [redacted]' clean from supplier"),
     "text_si_numbers": (lambda s, d: _rdata(s, d).select("id", F.split("line", " ")[2].alias("raw")).select("id", T.si_number(F.col("raw")).alias("x")), """
         select p_partkey id, cast(p_size as double) * [1e3, 1e6, 1e-6, 1e0, 1e-15][p_partkey % 5 + 1] x from part"""),
     "text_series_lines": (lambda s, d: T.series_lines(_rdata(s, d)), """
