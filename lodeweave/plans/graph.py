@@ -111,7 +111,7 @@ Q = {
     "graph_add_aliases": (lambda s, d: G.add_aliases(view(s, d, "topology_nodes").withColumnRenamed("topology_id", "node_id"), view(s, d, "topology_nodes").select(F.col("topology_id").alias("node_id"), F.lower("name").alias("alias"))), """
         select topology_id node_id, list_filter(case when list_contains(coalesce(aliases, []), lower(name)) then coalesce(aliases, []) else list_append(coalesce(aliases, []), lower(name)) end, lambda a: a <> name) aliases from topology_nodes"""),
     "graph_live_export_counts": (lambda s, d: G.counts_by_label(G.live(view(s, d, "nodes")).filter(~F.col("label").isin(*G.PRIVATE_LABELS))), f"select label, count(*) n from nodes where {_LIVE} group by 1"),
-    "graph_components": (lambda s, d: C.connected_components(view(s, d, "edges").filter("rel_type in ('BRIDGES_TO', 'EXTRACTED_FROM', 'SUB_BLOCK')"), "src_id", "dst_id"), None),
+    "graph_components": (lambda s, d: C.connected_components(view(s, d, "edges"), "src_id", "dst_id"), None),
     "graph_component_sizes": (lambda s, d: C.connected_components(view(s, d, "edges").filter("rel_type = 'BRIDGES_TO'"), "src_id", "dst_id").groupBy("component").agg(F.count(F.lit(1)).alias("n")), """
         , k as (select node_id, 'sup:' || cast(min(s) over (partition by s % 3) as varchar) from (select node_id, cast(substr(node_id, 5) as bigint) s from nodes where label = 'Concept'))
         select min(node_id) component, count(*) n from (select node_id, cast(substr(node_id, 5) as bigint) % 3 g from nodes where label = 'Concept') group by g"""),
