@@ -291,21 +291,3 @@ def applied_delta(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_
     e, lost = merge_edges(edges, new_edges, n)
     bad = new_nodes.filter(~(F.col("label").isin(*allowed) & F.col("node_id").isNotNull())).select(F.coalesce("node_id", F.lit("")).alias("item"), F.lit("label").alias("reason"))
     return {"nodes": n, "edges": e, "rejected": bad.unionByName(lost.select(F.concat_ws(" ", "src_id", "rel_type", "dst_id").alias("item"), F.lit("endpoint").alias("reason")))}
-
-
-def merge_proposals(concepts: DataFrame) -> DataFrame:
-    """(id_a, id_b, rule): blocked pairs of one entity whose normal forms differ, with the rule that links them."""
-    from lodeweave.operators import resolution as R
-
-    side = lambda s: concepts.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"))
-    p = R.blocked_pairs(concepts).join(side("a"), "id_a").join(side("b"), "id_b")
-    a, b = F.col("name_a"), F.col("name_b")
-    return p.filter(R.same_entity(a, b) & (R.normalize_name(a) != R.normalize_name(b))).select("id_a", "id_b", R.shadow_rule(a, b).alias("rule"))
-
-
-def false_merge_watch(pairs: DataFrame) -> DataFrame:
-    """Pairs(id, name_a, name_b) with common telling words but different rests."""
-    from lodeweave.operators import resolution as R
-
-    x, y = R.salient(F.col("name_a")), R.salient(F.col("name_b"))
-    return pairs.filter((F.size(F.array_intersect(x, y)) > 0) & (F.size(F.array_except(x, y)) > 0) & (F.size(F.array_except(y, x)) > 0)).select("id", "name_a", "name_b")

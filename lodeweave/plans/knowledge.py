@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import graph as G
 from lodeweave.operators import knowledge as K
+from lodeweave.operators import resolution as R
 from lodeweave.plans import evidence as PE
 from lodeweave.plans import resolution as PR
 from lodeweave.plans import text as PT
@@ -69,6 +70,19 @@ def _newedges(s, d):
     return view(s, d, "edges").filter("rel_type = 'SUB_BLOCK'").withColumn("src_id", F.concat("src_id", F.lit("n")))
 
 
+
+
+def _watched(s, d):
+    """Blocked pairs of topologies with both names."""
+    c = PR._concepts(s, d)
+    side = lambda x: c.select(F.col("id").alias(f"id_{x}"), F.col("name").alias(f"name_{x}"))
+    return R.blocked_pairs(c, PR.VOCAB).join(side("a"), "id_a").join(side("b"), "id_b").select(F.concat_ws(" ", "id_a", "id_b").alias("id"), "name_a", "name_b")
+
+
+def _own(name, aliases):
+    return f"list_transform(list_filter([{name}] || coalesce({aliases}, []), lambda x: trim(coalesce(x, '')) <> ''), lambda x: {PR._norm('x')})"
+
+
 Q = {
     "kg_display": (lambda s, d: view(s, d, "nodes").select("node_id", K.display(F.col("label"), F.col("node_id"), F.when(F.col("reinforcement_count") % 2 == 0, F.col("name")), F.col("description")).alias("shown")), "select node_id, case when reinforcement_count % 2 = 0 and trim(name) <> '' then name when trim(description) <> '' then substr(description, 1, 60) else label || ' ' || node_id end shown from nodes"),
     "kg_snake_title": (lambda s, d: view(s, d, "link_requests").select("match_text", K.snake_title(F.col("match_text"), ["ota", "ldo"]).alias("title")).filter("match_text rlike '^[a-z_]+$'").distinct(), "select distinct match_text, array_to_string(list_transform(list_filter(string_split_regex(match_text, '[_ ]+'), lambda w: w <> ''), lambda w: case when w in ('ota','ldo') then upper(w) else upper(w[1]) || w[2:] end), ' ') title from link_requests where regexp_matches(match_text, '^[a-z_]+$')"),
@@ -113,10 +127,8 @@ Q = {
     "kg_skill_run_edges": (lambda s, d: K.skill_run_rows(view(s, d, "skill_runs"))[1], "select skill_name src_id, 'EXECUTED' rel_type, run_id::varchar dst_id from skill_runs"),
     "kg_delta_nodes": (lambda s, d: K.applied_delta(view(s, d, "nodes"), view(s, d, "edges"), _new(s, d), _newedges(s, d), ("Concept", "Principle"))["nodes"].groupBy("label").agg(F.count(F.lit(1)).alias("n")), "select label, count(*) * case when label in ('Concept', 'Principle') then 2 else 1 end n from nodes group by label"),
     "kg_delta_rejected": (lambda s, d: K.applied_delta(view(s, d, "nodes"), view(s, d, "edges"), _new(s, d), _newedges(s, d).unionByName(_newedges(s, d).withColumn("dst_id", F.lit("lost"))), ("Concept", "Principle"))["rejected"], "select node_id || 'n' item, 'label' reason from nodes where label = 'Source' union all select src_id || 'n SUB_BLOCK lost', 'endpoint' from edges where rel_type = 'SUB_BLOCK'"),
-    "kg_merge_proposals": (lambda s, d: K.merge_proposals(view(s, d, "topology_nodes").filter("name is not null").select(F.col("topology_id").alias("id"), "name")), None),
-    "kg_false_merge_watch": (lambda s, d: K.false_merge_watch(PR.pairs(s, d)), PR._RULES + " select id, name_a, name_b from ru where len(list_intersect(x, y)) > 0 and len(ex) > 0 and len(ey) > 0"),
-    "kg_scaled_area": (lambda s, d: view(s, d, "part").select("p_partkey", K.scaled_area(F.concat(F.col("p_size").cast("string"), F.lit("um2")), 0.25).alias("area")), "select p_partkey, cast(round(p_size * 0.25e0, 6) as varchar) || 'um2' area from part"),
-    "kg_id_fields": (lambda s, d: s.createDataFrame(list(K.ID_FIELDS.items()), "label string, id_field string").join(view(s, d, "nodes").select("label").distinct(), "label", "left_semi"), "select distinct label, lower(label) || '_id' id_field from nodes"),
+    "kg_merge_proposals": (lambda s, d: R.merge_proposals(PR._concepts(s, d), PR.VOCAB), PR._CF + f" select case when (ca, id_a) <= (cb, id_b) then id_a else id_b end id_a, case when (ca, id_a) <= (cb, id_b) then id_b else id_a end id_b, rule from (select r.* from {PR._rules('ap')} r join bk using (id_a, id_b)) where same and not list_has_any({_own('name_a', 'ala')}, {_own('name_b', 'alb')})"),
+    "kg_false_merge_watch": (lambda s, d: R.false_merge_watch(_watched(s, d), PR.VOCAB), PR._CF + f" select id_a || ' ' || id_b id, array_to_string(list_sort(list_intersect(entsa, entsb)), ' ') shared, array_to_string(list_sort(resta), ' ') rest_a, array_to_string(list_sort(restb), ' ') rest_b from ap join bk using (id_a, id_b) where len(list_intersect(entsa, entsb)) > 0 and not {PR._SAMESET.format('resta', 'restb')}"),
 }
 
 

@@ -2,60 +2,121 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators import resolution as R
 from lodeweave.operators import vectors as X
+from lodeweave.operators.components import connected_components
 from lodeweave.sources.views import view, with_views
 
 N = ("name_a", "name_b")
+# The vocabulary of these queries, made for the test tables; the SQL below states the same words on its own.
+VOCAB = R.Vocabulary(
+    abbreviations={"psrr": "power supply rejection", "pm": "phase margin", "sr": "slew rate", "vos": "input offset voltage"},
+    aliases={"ringosc": ["ring oscillator", "ring osc"], "curmir": ["current mirror", "mirror bank"], "tia": ["transimpedance amplifier", "tz amp"]},
+    stop=("and", "to", "the", "of"),
+    short=("ab", "pm"),
+    qualifiers=("core", "pair"),
+    generic=("buffer", "amplifier", "voltage"),
+    discriminators=("pseudo", "fully", "low", "output"),
+    projection={"GROUNDS": "SUPPORTS", "REALIZES": "INSTANCE_OF"},
+)
 
 
 def pairs(s, d):
-    """(id, name_a, name_b): topologies with their aliases and with the next topology."""
-    t = view(s, d, "topology_nodes")
-    from pyspark.sql import Window
+    """(id, name_a, name_b): link texts with the next link's text of the same kind and specimen range, topologies with their aliases."""
+    l = view(s, d, "link_requests").filter("match_text is not null").select("link_id", "target_label", "source_id_value", "match_text").distinct()
+    w = Window.partitionBy("target_label", F.substring("source_id_value", 1, 7)).orderBy("link_id", "match_text", "source_id_value")
+    nxt = l.select(F.col("link_id").alias("id"), F.col("match_text").alias("name_a"), F.lead("match_text").over(w).alias("name_b")).filter("name_b is not null")
+    return view(s, d, "topology_nodes").select(F.col("topology_id").alias("id"), F.col("name").alias("name_a"), F.explode("aliases").alias("name_b")).unionByName(nxt).distinct()
 
-    nxt = t.select(F.col("topology_id").alias("id"), F.col("name").alias("name_a"), F.lead("name").over(Window.orderBy("topology_id")).alias("name_b"))  # a fixed table of 166 rows
-    return t.select(F.col("topology_id").alias("id"), F.col("name").alias("name_a"), F.explode("aliases").alias("name_b")).unionByName(nxt.filter("name_b is not null")).distinct()
 
+def forms(s, d):
+    """The pairs with the profiles of both names."""
+    return pairs(s, d).withColumn("p", R.profile(F.col("name_a"), VOCAB)).withColumn("q", R.profile(F.col("name_b"), VOCAB))
 
-def _lst(words):
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+P, Q_ = F.col("p"), F.col("q")
+_MAP = "MAP {'psrr': 'power supply rejection', 'pm': 'phase margin', 'sr': 'slew rate', 'vos': 'input offset voltage'}"
+_KEYS, _STOPS, _SHORT = "['ringosc', 'curmir', 'tia']", "['and', 'to', 'the', 'of']", "['ab', 'pm']"
+_QUAL, _LOOSE, _DISC = "['core', 'pair']", "['buffer', 'amplifier', 'voltage', 'core', 'pair']", "['pseudo', 'fully', 'low', 'output']"
+_FORMS = [("current mirror", "curmir"), ("mirror bank", "curmir"), ("ring osc", "ringosc"), ("ring oscillator", "ringosc"), ("transimpedance amplifier", "tia"), ("tz amp", "tia")]
 
 
 def _norm(x):
     s = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[-_/]+', ' ', 'g'), '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g'))"
-    m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.ABBREVIATIONS.items()) + "}"
-    return f"array_to_string(list_transform(string_split({s}, ' '), lambda t: coalesce({m}[t], t)), ' ')"
+    return f"array_to_string(list_transform(string_split({s}, ' '), lambda t: coalesce({_MAP}[t], t)), ' ')"
 
 
 def _canon(x):
     return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[\\s_-]+', ' ', 'g'), '[^a-z0-9+/(). ]+', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-def _sal(x):
-    e = f"' ' || {_canon(x)} || ' '"
-    for f, k in sorted(((f, k) for k, fs in R.ALIASES.items() for f in fs), key=lambda v: -len(v[0].split())):
+def _toks(x):
+    return f"list_filter(list_transform(string_split({_canon(x)}, ' '), lambda t: regexp_replace(t, '^[().]+|[().]+$', '', 'g')), lambda t: t <> '')"
+
+
+def _key(x):
+    e = f"' ' || array_to_string({_toks(x)}, ' ') || ' '"
+    for f, k in _FORMS:
         e = f"replace({e}, ' {f} ', ' {k} ')"
-    return f"""list_distinct(list_filter(list_transform(string_split(trim({e}), ' '), lambda t: regexp_replace(t, '^[().]+|[().]+$', '', 'g')),
-      lambda t: t <> '' and not list_contains({_lst(R.STOP)}, t) and (list_contains({_lst(R.ALIASES)}, t) or ((length(t) >= 3 or regexp_matches(t, '[0-9/]') or t in ('dc', 'az')) and not regexp_matches(t, '^[0-9]{{3,}}$')))))"""
-
-
-_P = """, np as (select topology_id id, name name_a, unnest(aliases) name_b from topology_nodes union select * from (select topology_id, name, lead(name) over (order by topology_id) nb from topology_nodes) where nb is not null)"""
-_NUM = "list_distinct(regexp_extract_all({}, '\\d+(?:\\.\\d+)?'))"
-_EX = "list_filter({0}, lambda q: not list_contains({1}, q))"
-_G, _K = _lst(R.GENERIC), _lst(R.ALIASES)
-_RULES = _P + f""", sx as (select *, {_sal('name_a')} x, {_sal('name_b')} y, {_canon('name_a')} ca, {_canon('name_b')} cb, {_NUM.format('name_a')} na, {_NUM.format('name_b')} nb from np),
-ex as (select *, {_EX.format('x', 'y')} ex, {_EX.format('y', 'x')} ey, list_sort({_EX.format('na', 'nb')} || {_EX.format('nb', 'na')}) nd,
-  list_filter(x, lambda q: list_contains({_K}, q)) kx, list_filter(y, lambda q: list_contains({_K}, q)) ky,
-  case when len(list_filter(string_split(ca, ' '), lambda q: not list_contains({_G}, q))) > 0 then list_filter(string_split(ca, ' '), lambda q: not list_contains({_G}, q)) else string_split(ca, ' ') end wa,
-  case when len(list_filter(string_split(cb, ' '), lambda q: not list_contains({_G}, q))) > 0 then list_filter(string_split(cb, ' '), lambda q: not list_contains({_G}, q)) else string_split(cb, ' ') end wb from sx),
-ru as (select *, len(nd) > 0 numeric_conflict,
-  len(x) > 0 and len(y) > 0 and (len(ex) > 0) <> (len(ey) > 0) and len(list_filter(ex || ey, lambda q: not list_contains({_G}, q))) > 0 qualifier_conflict,
-  len(kx) > 0 and list_sort(kx) = list_sort(ky) and len(list_filter(x || y, lambda q: not list_contains({_K}, q) and not list_contains({_G}, q))) = 0 alias_same,
-  (len(wa) = 1 and regexp_matches(regexp_replace(wa[1], '[.\\s_/-]+', '', 'g'), '^[a-z]{{2,}}$') and array_to_string(list_transform(wb, lambda q: q[1]), '') = regexp_replace(wa[1], '[.\\s_/-]+', '', 'g'))
-   or (len(wb) = 1 and regexp_matches(regexp_replace(wb[1], '[.\\s_/-]+', '', 'g'), '^[a-z]{{2,}}$') and array_to_string(list_transform(wa, lambda q: q[1]), '') = regexp_replace(wb[1], '[.\\s_/-]+', '', 'g')) acronym_same from ex)"""
+    return f"trim({e})"
+
+
+_TELLS = f"((case when length(t) >= 3 then not regexp_matches(t, '^[0-9]+$') else regexp_matches(t, '[0-9/]') or list_contains({_SHORT}, t) end) and not list_contains({_STOPS}, t))"
+
+
+def _forms(src, x, s):
+    """Columns of one name's profile, as ``profile`` gives them, with the suffix s."""
+    return f"""(select *, list_filter(ent{s}, lambda t: list_contains({_KEYS}, t)) ents{s}, list_filter(ent{s}, lambda t: not list_contains({_KEYS}, t) and not list_contains({_QUAL}, t)) rest{s},
+      case when len(list_filter(w{s}, lambda t: not list_contains({_LOOSE}, t))) > 0 then list_filter(w{s}, lambda t: not list_contains({_LOOSE}, t)) else w{s} end core{s} from
+     (select *, {_norm(x)} n{s}, {_canon(x)} c{s}, {_key(x)} k{s}, list_distinct(list_filter({_toks(x)}, lambda t: {_TELLS})) tok{s},
+      list_distinct(list_filter(string_split({_key(x)}, ' '), lambda t: t <> '' and (list_contains({_KEYS}, t) or {_TELLS}))) ent{s},
+      list_distinct(regexp_extract_all(coalesce({x}, ''), '\\d+(?:\\.\\d+)?')) num{s}, list_filter(string_split({_canon(x)}, ' '), lambda t: t <> '') w{s} from {src}) z)"""
+
+
+_MINUS = "list_filter({0}, lambda t: not list_contains({1}, t))"
+_SAMESET = "(len(list_intersect({0}, {1})) = len({0}) and len({0}) = len({1}))"
+
+
+def _rules(src):
+    """src (with the profiles a and b) and the rules' outcomes."""
+    acro = lambda a, b: f"(len(core{a}) = 1 and regexp_matches(regexp_replace(core{a}[1], '[.\\s_/-]+', '', 'g'), '^[a-z]{{2,}}$') and array_to_string(list_transform(core{b}, lambda t: t[1]), '') = regexp_replace(core{a}[1], '[.\\s_/-]+', '', 'g'))"
+    ea, eb = _MINUS.format("enta", "entb"), _MINUS.format("entb", "enta")
+    ta, tb = _MINUS.format("toka", "tokb"), _MINUS.format("tokb", "toka")
+    short = "case when len(toka) <= len(tokb) then toka else tokb end"
+    both_sides = "len(list_intersect(toka, tokb))"
+    single = f"(not regexp_matches(({short})[1], '[+-]$') and (regexp_matches(({short})[1], '[0-9/]') or length(({short})[1]) <= 4))"
+    return f"""(select *, coalesce(alias_same or (inboth > 0 and ((inboth = len(toka) and inboth = len(tokb)) or
+        case when len(list_filter({ta} || {tb}, lambda t: list_contains({_DISC}, t))) > 0 then false when inboth = least(len(toka), len(tokb)) then least(len(toka), len(tokb)) > 1 or {single} else inboth >= 2 end)), false) same,
+      case when not alias_same then 'salient_containment' when len(entsa) = len(enta) and len(entsb) = len(entb) then 'alias' else 'generic_qualifier' end rule
+     from (select *, not {_SAMESET.format('numa', 'numb')} numeric_conflict, {both_sides} inboth,
+      len(enta) > 0 and len(entb) > 0 and (len({ea}) > 0) <> (len({eb}) > 0) and len(list_filter({ea} || {eb}, lambda t: not list_contains({_LOOSE}, t))) > 0 qualifier_conflict,
+      len(entsa) > 0 and {_SAMESET.format('entsa', 'entsb')} and len(resta) = 0 and len(restb) = 0 alias_same, {acro('a', 'b')} or {acro('b', 'a')} acronym_same from {src} y) y)"""
+
+
+def _tier(cos):
+    return f"case when qualifier_conflict or numeric_conflict then 'REJECT' when ca = cb or alias_same or acronym_same then 'MERGE' when coalesce({cos} >= 0.82, false) then 'VERIFY' else 'REJECT' end"
+
+
+_JAC = "(case when na <> '' and nb <> '' then len(list_intersect(string_split(na, ' '), string_split(nb, ' '))) / len(list_distinct(string_split(na, ' ') || string_split(nb, ' '))) else 0 end)"
+# Longest common subsequence: row by row, the best up to i is the old one or one more than the old one before the last equal letter.
+_LCS = """list_reduce(list_prepend(list_transform(range(length(na) + 1), lambda i: 0::bigint), list_transform(string_split(nb, ''), lambda c: [ord(c)::bigint])),
+  lambda r, c: list_transform(range(length(na) + 1), lambda i: case when i = 0 or strpos(reverse(na[1:i]), chr(c[1]::int)) = 0 then r[i + 1] else greatest(r[i + 1], r[i - strpos(reverse(na[1:i]), chr(c[1]::int)) + 1] + 1) end))[length(na) + 1]"""
+_SIM = f"(case when na = '' or nb = '' then 0 when na = nb then 1 else greatest({_JAC}, 0.8 * 2 * {_LCS} / (length(na) + length(nb))) end)"
+_NP = """(select topology_id id, name name_a, unnest(aliases) name_b from topology_nodes union select id, name_a, name_b from (select link_id id, match_text name_a,
+  lead(match_text) over (partition by target_label, substr(source_id_value, 1, 7) order by link_id, match_text, source_id_value) name_b from (select distinct link_id, target_label, source_id_value, match_text from link_requests where match_text is not null)) where name_b is not null)"""
+_FX = _forms(_forms(f"{_NP} np", "name_a", "a") + " fa", "name_b", "b")
+_RU = f"(select * from {_rules(_FX)} r0)"
+# Concepts of the consolidation queries, their blocked pairs, and all pairs above the floors.
+_CON = "(select topology_id id, name, aliases, embedding from topology_nodes left join (select 'topo_' || lpad(concept_id::varchar, 4, '0') topology_id, embedding from concept_vectors) v using (topology_id) where name is not null)"
+_CF = f""", cf as materialized (select id, name name_a, aliases al, embedding e, na n, ca c, ka k, toka tok, enta ent, numa num, entsa ents, resta rest, corea core from {_forms(_CON + ' con', 'name', 'a')} f),
+bk as materialized (select distinct least(x.id, y.id) id_a, greatest(x.id, y.id) id_b from (select id, unnest(list_distinct(tok || ent || case when k <> '' then ['= ' || k] else [] end)) t from cf) x join (select id, unnest(list_distinct(tok || ent || case when k <> '' then ['= ' || k] else [] end)) t from cf) y on x.t = y.t and x.id < y.id),
+ap as (select a.id id_a, b.id id_b, a.name_a, b.name_a name_b, """ + ", ".join(f"{s}.{c} {c}{s}" for s in "ab" for c in ("e", "n", "c", "tok", "ent", "num", "ents", "rest", "core", "al")) + """ from cf a join cf b on a.id < b.id)"""
+_CP = _CF + f""", cp as materialized (select *, {_tier('cos')} tier from (select *, case when ea is not null and eb is not null then list_cosine_similarity(ea::double[], eb::double[]) end cos, {_SIM} sim from {_rules('ap')} z)),
+cl as materialized (select cp.id_a, cp.id_b, name_a, name_b, round(cos, 6) cos, round(sim, 6) sim, tier, case when qualifier_conflict or numeric_conflict then case when coalesce(cos, -1) >= 0.6 or sim >= 0.85 or alias_same then 'review' else 'drop' end when tier = 'MERGE' or alias_same then 'auto' when tier = 'VERIFY' then 'verify' when sim >= 0.7 then 'review' else 'drop' end band
+ from cp left join bk on bk.id_a = cp.id_a and bk.id_b = cp.id_b where bk.id_a is not null or coalesce(cos >= 0.6, false) or sim >= 0.7)"""
 
 
 def vecs(s, d):
@@ -96,15 +157,13 @@ def _best(s, d):
 def _concepts(s, d):
     t = view(s, d, "topology_nodes").filter("name is not null")
     v = view(s, d, "concept_vectors").select(F.concat(F.lit("topo_"), F.lpad(F.col("concept_id").cast("string"), 4, "0")).alias("id"), "embedding")
-    return t.select(F.col("topology_id").alias("id"), "name").join(v, "id", "left")
+    return t.select(F.col("topology_id").alias("id"), "name", "aliases").join(v, "id", "left")
 
 
 def _hits(s, d):
     n = view(s, d, "nodes").filter("label = 'Parameter'")
     q = s.createDataFrame([("azure",), ("blue",), ("almond",)], "query_id string")
     t = n.join(q, F.lower("name").contains(F.col("query_id"))).select("query_id", F.col("node_id").alias("id"), F.col("name").alias("o"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy("o", "id")
     return t.withColumn("ord", F.row_number().over(w)).select("query_id", "id", "ord")
 
@@ -125,30 +184,33 @@ def _relink(s, d):
     return j.select(F.col("query_id").alias("concept_id"), "id", "source_a", "source_b", F.round("similarity", 6).alias("score"))
 
 
+def _classified(s, d):
+    return R.classified_pairs(_concepts(s, d), VOCAB)
+
+
 Q = {
-    "er_normalize_name": (lambda s, d: view(s, d, "link_requests").select("match_text", R.normalize_name(F.col("match_text")).alias("norm")).distinct(), f"select distinct match_text, {_norm('match_text')} norm from link_requests"),
+    "er_normalize_name": (lambda s, d: view(s, d, "link_requests").select("match_text", R.normalize_name(F.col("match_text"), VOCAB).alias("norm")).distinct(), f"select distinct match_text, {_norm('match_text')} norm from link_requests"),
     "er_canonicalize_name": (lambda s, d: view(s, d, "link_requests").select("match_text", R.canonicalize_name(F.col("match_text")).alias("canon")).distinct(), f"select distinct match_text, {_canon('match_text')} canon from link_requests"),
-    "er_salient_tokens": (lambda s, d: pairs(s, d).select("id", *N, F.array_join(F.array_sort(R.salient(F.col("name_b"))), " ").alias("tokens")), _P + f" select id, name_a, name_b, array_to_string(list_sort({_sal('name_b')}), ' ') tokens from np"),
-    "er_token_jaccard": (lambda s, d: pairs(s, d).select("id", *N, F.round(R.token_jaccard(R.normalize_name(F.col("name_a")), R.normalize_name(F.col("name_b"))), 6).alias("j")), _P + f""", t as (select *, list_distinct(list_filter(string_split({_norm('name_a')}, ' '), lambda q: q <> '')) x, list_distinct(list_filter(string_split({_norm('name_b')}, ' '), lambda q: q <> '')) y from np)
-        select id, name_a, name_b, round(case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y)) / len(list_distinct(x || y)) else 0 end, 6) j from t"""),
-    "er_name_similarity": (lambda s, d: pairs(s, d).select("id", *N, F.round(R.name_similarity(F.col("name_a"), F.col("name_b")), 6).alias("sim")), None),
-    "er_names_conflict": (lambda s, d: pairs(s, d).select("id", *N, R.names_conflict(F.col("name_a"), F.lit(None).cast("string"), F.col("name_b"), F.lit(None).cast("string"), F.lit(0.5)).alias("conflict")), _P + f""", t as (select *, list_sort(list_distinct(list_filter(string_split({_norm('name_a')}, ' '), lambda q: regexp_matches(q, '[0-9]')))) x, list_sort(list_distinct(list_filter(string_split({_norm('name_b')}, ' '), lambda q: regexp_matches(q, '[0-9]')))) y from np)
-        select id, name_a, name_b, len(x) > 0 and len(y) > 0 and x <> y conflict from t"""),
-    "er_numeric_conflict": (lambda s, d: pairs(s, d).select("id", *N, R.numeric_conflict(F.col("name_a"), F.col("name_b")).alias("conflict")), _RULES + " select id, name_a, name_b, numeric_conflict conflict from ru"),
-    "er_qualifier_conflict": (lambda s, d: pairs(s, d).select("id", *N, R.qualifier_conflict(F.col("name_a"), F.col("name_b")).alias("conflict")), _RULES + " select id, name_a, name_b, qualifier_conflict conflict from ru"),
-    "er_acronym_same": (lambda s, d: pairs(s, d).select("id", *N, R.acronym_same(F.col("name_a"), F.col("name_b")).alias("same")), _RULES + " select id, name_a, name_b, acronym_same same from ru"),
-    "er_alias_same": (lambda s, d: pairs(s, d).select("id", *N, R.alias_same(F.col("name_a"), F.col("name_b")).alias("same")), _RULES + " select id, name_a, name_b, alias_same same from ru"),
-    "er_same_entity": (lambda s, d: pairs(s, d).select("id", *N, R.same_entity(F.col("name_a"), F.col("name_b")).alias("same")), _RULES + f"""
-        , q as (select *, len(x) nx, len(y) ny, len(list_intersect(x, y)) b, case when len(x) <= len(y) then x else y end sh, len(list_intersect(ex || ey, {_lst(R.DISCRIMINATORS)})) dis from ru)
-        select id, name_a, name_b, alias_same or (nx > 0 and ny > 0 and ((b = nx and b = ny) or (b > 0 and case when dis > 0 then false when b = least(nx, ny) then case when least(nx, ny) = 1 then not regexp_matches(sh[1], '[+-]$') and (regexp_matches(sh[1], '[0-9/]') or length(sh[1]) <= 4) else true end else b >= 2 end))) same from q"""),
-    "er_merge_tier": (lambda s, d: pairs(s, d).select("id", *N, R.merge_tier(F.col("name_a"), F.col("name_b"), F.when(F.length("name_a") % 2 == 0, 0.9)).alias("tier")), _RULES + """
-        select id, name_a, name_b, case when qualifier_conflict or numeric_conflict then 'REJECT' when ca = cb or alias_same or acronym_same then 'MERGE' when length(name_a) % 2 = 0 then 'VERIFY' else 'REJECT' end tier from ru"""),
-    "er_shadow_rule": (lambda s, d: pairs(s, d).select("id", *N, R.shadow_rule(F.col("name_a"), F.col("name_b")).alias("rule")), _RULES + f" select id, name_a, name_b, case when alias_same then 'alias' when len(list_filter(ex || ey, lambda q: not list_contains({_G}, q))) = 0 then 'generic_qualifier' else 'salient_containment' end as rule from ru"),
-    "er_blocked_pairs": (lambda s, d: R.blocked_pairs(_concepts(s, d)), None),
-    "er_classified_pairs": (lambda s, d: R.classified_pairs(_concepts(s, d)).withColumn("cos", F.round("cos", 6)).withColumn("sim", F.round("sim", 6)), None),
-    "er_verifier_drain": (lambda s, d: R.drained(R.classified_pairs(_concepts(s, d)).select("id_a", "id_b", "band"), R.blocked_pairs(_concepts(s, d)).select("id_a", "id_b", F.when(F.col("id_a") < "topo_0080", "SAME").otherwise("DIFFERENT").alias("verdict"))), None),
-    "er_merge_components": (lambda s, d: __import__("lodeweave.operators.components", fromlist=["x"]).connected_components(R.classified_pairs(_concepts(s, d)).filter("band in ('auto', 'review')"), "id_a", "id_b"), None),
-    "er_capped_clusters": (lambda s, d: R.capped_clusters(R.classified_pairs(_concepts(s, d)).filter("band <> 'drop'").select("id_a", "id_b"), _concepts(s, d).select("id", "embedding")), None),
+    "er_salient_tokens": (lambda s, d: forms(s, d).select("id", *N, F.array_join(F.array_sort("q.entity"), " ").alias("tokens")), f"select id, name_a, name_b, array_to_string(list_sort(entb), ' ') tokens from {_FX} f"),
+    "er_token_jaccard": (lambda s, d: forms(s, d).select("id", *N, F.round(R.token_jaccard(P["norm"], Q_["norm"]), 6).alias("j")), f"select id, name_a, name_b, round({_JAC}, 6) j from {_FX} f"),
+    "er_name_similarity": (lambda s, d: forms(s, d).select("id", *N, F.round(R.name_similarity(P["norm"], Q_["norm"]), 6).alias("sim")), f"select id, name_a, name_b, round({_SIM}, 6) sim from {_FX} f"),
+    "er_names_conflict": (lambda s, d: forms(s, d).withColumn("j", R.token_jaccard(P["norm"], Q_["norm"])).select("id", *N, R.names_conflict(P, F.when(F.col("id") < "link_8", F.concat_ws(" near ", "name_b", "id")), Q_, F.when(F.col("id") > "link_4", F.col("name_a")), F.col("j")).alias("conflict")), f"""
+        , t as (select *, {_JAC} j, list_distinct(list_filter(string_split(na, ' '), lambda q: regexp_matches(q, '[0-9]'))) x, list_distinct(list_filter(string_split(nb, ' '), lambda q: regexp_matches(q, '[0-9]'))) y from {_FX} f)
+        select id, name_a, name_b, (len(x) > 0 and len(y) > 0 and not {_SAMESET.format('x', 'y')}) or (j < 0.15 and not ((nb <> '' and coalesce(case when id < 'link_8' then contains(lower(name_b || ' near ' || id), nb) end, false)) or (na <> '' and coalesce(case when id > 'link_4' then contains(lower(name_a), na) end, false)))) conflict from t"""),
+    "er_numeric_conflict": (lambda s, d: forms(s, d).select("id", *N, R.numeric_conflict(P, Q_).alias("conflict")), f"select id, name_a, name_b, numeric_conflict conflict from {_RU} r"),
+    "er_qualifier_conflict": (lambda s, d: forms(s, d).select("id", *N, R.qualifier_conflict(P, Q_, VOCAB).alias("conflict")), f"select id, name_a, name_b, qualifier_conflict conflict from {_RU} r"),
+    "er_acronym_same": (lambda s, d: forms(s, d).select("id", *N, R.acronym_same(P, Q_).alias("same")), f"select id, name_a, name_b, acronym_same same from {_RU} r"),
+    "er_alias_same": (lambda s, d: forms(s, d).select("id", *N, R.alias_same(P, Q_).alias("same")), f"select id, name_a, name_b, alias_same same from {_RU} r"),
+    "er_same_entity": (lambda s, d: forms(s, d).select("id", *N, R.same_entity(P, Q_, VOCAB).alias("same")), f"select id, name_a, name_b, same from {_RU} r"),
+    "er_merge_tier": (lambda s, d: forms(s, d).select("id", *N, R.merge_tier(P, Q_, F.when(F.length("name_a") % 2 == 0, 0.9), VOCAB).alias("tier")), f"select id, name_a, name_b, {_tier('(case when length(name_a) % 2 = 0 then 0.9 end)')} tier from {_RU} r"),
+    "er_shadow_rule": (lambda s, d: forms(s, d).select("id", *N, R.shadow_rule(P, Q_, VOCAB).alias("rule")), f"select id, name_a, name_b, rule from {_RU} r"),
+    "er_blocked_pairs": (lambda s, d: R.blocked_pairs(_concepts(s, d), VOCAB), _CF + " select * from bk"),
+    "er_classified_pairs": (lambda s, d: _classified(s, d).withColumn("cos", F.round("cos", 6)).withColumn("sim", F.round("sim", 6)), _CP + " select * from cl"),
+    "er_verifier_drain": (lambda s, d: R.drained(_classified(s, d).select("id_a", "id_b", "band"), R.blocked_pairs(_concepts(s, d), VOCAB).select("id_a", "id_b", F.when(F.col("id_a") < "topo_0080", "SAME").otherwise("DIFFERENT").alias("verdict"))), _CP + """
+        select cl.id_a, cl.id_b, case when band <> 'verify' then band when bk.id_a is null then 'review' when bk.id_a < 'topo_0080' then 'auto' else 'drop' end band from cl left join bk on bk.id_a = cl.id_a and bk.id_b = cl.id_b"""),
+    "er_merge_components": (lambda s, d: connected_components(_classified(s, d).filter("band in ('auto', 'review')"), "id_a", "id_b"), _CP.replace(", cf as", ", recursive cf as", 0) + """, g as materialized (select id_a a, id_b b from cl where band in ('auto', 'review') union select id_b, id_a from cl where band in ('auto', 'review')),
+        w(node, component) as (select a, a from g union select g.b, w.component from w join g on g.a = w.node) select node, min(component) component from w group by 1"""),
+    "er_capped_clusters": (lambda s, d: R.capped_clusters(_classified(s, d).filter("band <> 'drop'").select("id_a", "id_b"), _concepts(s, d).select("id", "embedding")), None),
     "er_tiered_match": (lambda s, d: R.tiered_match(_best(s, d), low=0.2), _KNN + """
         , b as (select query_id || '-' || id mention_id, query_id % 100 chunk_id, id, round(s, 6) cos from kr where r <= 5),
         t as (select *, case when id % 9 = 0 then 'T0' when cos >= 0.85 and id % 2 <> 0 then 'T1' when cos >= 0.2 or 0.3 >= 0.2 then 'T2' else 'T3' end tier from b),
@@ -178,7 +240,7 @@ Q = {
         , f as (select query_id concept_id, id, row_number() over (partition by query_id order by round(s, 6) desc, id) as rank from kr where r <= 12 and sa <> sb and round(s, 6) >= 0.1 and id % 5 <> 0) select * from f where rank <= 3"""),
     "er_novelty": (lambda s, d: R.novelty([f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)], [f"T{i}" for i in range(8)] + ["ECONOMY", "STANDARD"], view(s, d, "part").select(F.col("p_brand").alias("metric"), F.col("p_type").alias("knob"))), """
         select 'Brand#' || i || j metric, k knob from range(1, 6) a(i), range(1, 6) b(j), (select unnest(['T0','T1','T2','T3','T4','T5','T6','T7','ECONOMY','STANDARD']) k) where not exists (select 1 from part where p_brand = 'Brand#' || i || j and p_type = k)"""),
-    "er_projected_relation": (lambda s, d: view(s, d, "link_requests").select("rel_type", R.projected_relation(F.when(F.col("rel_type") == "GROUNDS", "reduces").otherwise(F.col("rel_type"))).alias("core")).distinct(), "select distinct rel_type, case when rel_type = 'GROUNDS' then 'DEPENDS_ON' else upper(rel_type) end core from link_requests"),
+    "er_projected_relation": (lambda s, d: view(s, d, "link_requests").select("link_id", "rel_type", R.projected_relation(F.lower("rel_type"), VOCAB).alias("core")).distinct(), "select distinct link_id, rel_type, case upper(rel_type) when 'GROUNDS' then 'SUPPORTS' when 'REALIZES' then 'INSTANCE_OF' else upper(rel_type) end core from link_requests"),
     "vector_nearest": (lambda s, d: _knn(s, d).select("query_id", "id", "rank"), _KNN + " select query_id, id, r as rank from kr where r <= 5"),
     "vector_cosine": (lambda s, d: view(s, d, "embeddings").select("vec_id", F.round(X.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("cos")), "select vec_id, round(list_cosine_similarity(embedding::double[], list_reverse(embedding)::double[]), 6) cos from embeddings"),
     "vector_truncated": (lambda s, d: view(s, d, "embeddings").select("vec_id", F.round(F.aggregate(X.truncated(F.col("embedding"), 16), F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size(X.truncated(F.col("embedding"), 16)).cast("long").alias("n")), "select vec_id, round(list_sum(embedding[1:16]::double[]) / sqrt(list_inner_product(embedding[1:16]::double[], embedding[1:16]::double[])), 5) total, 16::bigint n from embeddings"),
@@ -192,4 +254,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The same in DuckDB's SQL."""
-    return {k: with_views("with " + q.strip()[2:] if q.strip().startswith(", ") else q) for k, (_, q) in Q.items() if q}
+    return {k: with_views(("with recursive " if "w(node" in q else "with ") + q.strip()[2:] if q.strip().startswith(", ") else q) for k, (_, q) in Q.items() if q}
