@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The labels and relation names below.
 KNOWLEDGE_LABELS = ("Concept", "Equation", "Principle", "CircuitTopology", "Parameter")
 PRIVATE_LABELS = ("Memory", "Session", "SkillRun", "Entity", "Learner", "Assessment")
 SHARED_BY = ("DEPENDS_ON", "USES_EQUATION", "HAS_PARAMETER")
@@ -30,14 +31,17 @@ def by_any_id(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.filter(F.col("node_id") == node_id).orderBy("label").limit(1)
 
 
-def resolve_prefix(requests: DataFrame, nodes: DataFrame, length: int = 6) -> DataFrame:
-    """(request, node_id): an exact id wins, else a prefix that starts exactly one live node; shorter than ``length`` never.
+def resolve_prefix(requests: DataFrame, nodes: DataFrame, digits: int = 12) -> DataFrame:
+    """(request, node_id): an exact id wins, else a prefix that starts exactly one live node: a scheme and at least ``digits`` hex digits after it.
 
-    The prefix is compared by equi-joining on its first ``length`` characters, so this is no cross join.
+    The scheme is what stands before the last of : and _. The prefix is compared by equi-joining on
+    scheme and first digits, so this is no cross join.
     """
-    known = live(nodes).select("node_id", F.substring("node_id", 1, length).alias("__p")).distinct()
-    req = requests.select("request").filter("request is not null").distinct().withColumn("__p", F.substring("request", 1, length))
-    hits = req.join(known, "__p").filter(F.col("node_id").startswith(F.col("request")) & (F.length("request") >= length))
+    rx = rf"^(.*[:_])?([0-9a-f]{{{digits}}})[0-9a-f]*$"
+    head = lambda c: F.when(F.col(c).rlike(rx), F.concat(F.regexp_extract(c, rx, 1), F.regexp_extract(c, rx, 2))).otherwise(F.concat(F.lit("="), c))
+    known = live(nodes).select("node_id", head("node_id").alias("__p")).distinct()
+    req = requests.select("request").filter("request is not null").distinct().withColumn("__p", head("request"))
+    hits = req.join(known, "__p").filter(F.col("node_id").startswith(F.col("request")))
     best = hits.groupBy("request").agg(F.max(F.when(F.col("node_id") == F.col("request"), F.col("node_id"))).alias("exact"), F.count(F.lit(1)).alias("n"), F.min("node_id").alias("only"))
     return best.select("request", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("node_id")).filter("node_id is not null")
 
@@ -50,9 +54,12 @@ def resolution_class(requests: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def text_search(nodes: DataFrame, phrase: str, limit: int = 20) -> DataFrame:
-    """Live knowledge nodes whose name holds the phrase, whatever the case: exact names first, then by name and id."""
+    """Live knowledge nodes whose name, or one of whose aliases (if there is that column), holds the phrase, whatever the case: exact names first, then by name and id."""
     p = phrase.lower()
-    hits = live(nodes).filter(F.col("label").isin(*KNOWLEDGE_LABELS) & F.lower("name").contains(p))
+    held = F.coalesce(F.lower("name").contains(p), F.lit(False))
+    if "aliases" in nodes.columns:
+        held = held | F.coalesce(F.exists("aliases", lambda a: F.lower(a).contains(p)), F.lit(False))
+    hits = live(nodes).filter(F.col("label").isin(*KNOWLEDGE_LABELS) & held)
     rank = F.when(F.lower("name") == p, 0).otherwise(1)
     return hits.orderBy(rank, "name", "node_id").limit(limit).select("node_id", "label", "name")
 
@@ -147,21 +154,29 @@ def endpoint_violations(edges: DataFrame, nodes: DataFrame, rules: dict[str, tup
 
 
 def duplicate_names(nodes: DataFrame, scope: str | None = None) -> DataFrame:
-    """(key, n, ids): names equal after lower-casing and trimming; with ``scope`` within each value of that column."""
+    """(key, n, first_id): names equal after lower-casing and trimming; with ``scope`` within each value of that column."""
     keys = [F.lower(F.trim("name")).alias("key"), *([F.col(scope)] if scope else [])]
     out = nodes.filter("name is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id")).filter("n > 1")
     return out
 
 
 def reinforce(confidence: Column, step: float, cap: float = 0.95) -> Column:
-    """Below the cap add the step (which may overshoot it), else exactly the cap; null stays null."""
-    return F.when(confidence < cap, confidence + step).when(confidence.isNotNull(), F.lit(cap))
+    """Below the cap add the step (which may overshoot it), else exactly the cap; a null starts at 0.7."""
+    c = F.coalesce(confidence, F.lit(0.7))
+    return F.when(c < cap, c + step).otherwise(F.lit(cap))
+
+
+def reinforce_times(confidence: Column, step: float, times: Column, cap: float = 0.95) -> Column:
+    """``reinforce`` applied ``times`` times: k steps reach or pass the cap, one more returns exactly the cap."""
+    c = F.coalesce(confidence, F.lit(0.7))
+    needed = F.when(c < cap, F.ceil(F.round((F.lit(cap) - c) / step, 9))).otherwise(F.lit(0))
+    return F.when(times <= needed, c + times * step).otherwise(F.lit(cap))
 
 
 def reinforced_nodes(nodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """(node_id, confidence, reinforcement_count): nodes hit at least once, one step for each hit's batch, count + hits."""
+    """(node_id, confidence, reinforcement_count): nodes hit at least once, a step for each hit, count + hits."""
     n = hits.groupBy("node_id").agg(F.count(F.lit(1)).alias("hits"))
-    return nodes.join(n, "node_id").select("node_id", reinforce(F.col("confidence"), 0.02).alias("confidence"), (F.coalesce("reinforcement_count", F.lit(1)) + F.col("hits")).alias("reinforcement_count"))
+    return nodes.join(n, "node_id").select("node_id", reinforce_times(F.col("confidence"), 0.02, F.col("hits")).alias("confidence"), (F.coalesce("reinforcement_count", F.lit(1)) + F.col("hits")).alias("reinforcement_count"))
 
 
 def reinforced_edges(edges: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Which knowledge layer a domain belongs to; -1 for others.
-LAYERS = {"device physics": 0, "device": 0, "circuit": 1, "topology": 1, "system": 2, "method": 3}
+# The names of the id columns.
 ID_FIELDS = {"Concept": "concept_id", "Equation": "equation_id", "Principle": "principle_id", "CircuitTopology": "topology_id", "Parameter": "parameter_id", "Source": "source_id", "SourceChunk": "chunk_id", "Insight": "insight_id", "Memory": "memory_id", "ClaimCard": "claim_id", "Specimen": "spec_id", "Regularity": "law_id", "Learner": "learner_id", "Assessment": "assessment_id"}
 PROTECTED = ("name", "label", "confidence", "retracted", "created_at")
 RELATIONS = {"depends on": "DEPENDS_ON", "depends-on": "DEPENDS_ON", "uses": "USES_EQUATION", "part of": "SUB_BLOCK"}
@@ -49,10 +48,11 @@ def coerced(values: Column) -> Column:
     return F.struct(F.when(ints, "int").when(nums, "double").otherwise("string").alias("kind"), F.when(ints | ~nums, v).otherwise(F.transform(v, lambda x: x.try_cast("double").cast("string"))).alias("items"))
 
 
-def layer(domain: Column) -> Column:
-    """The layer of a domain, -1 for unknown ones."""
-    m = F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv))
-    return F.coalesce(m[F.lower(F.trim(domain))], F.lit(-1))
+def layered(items: DataFrame, layers: DataFrame) -> DataFrame:
+    """items(id, domain) with the layer of their domain by the table layers(domain, layer), whatever case and blanks; -1 for unknown ones."""
+    key = lambda c: F.lower(F.trim(c))
+    of = layers.select(key("domain").alias("__k"), F.col("layer")).groupBy("__k").agg(F.min("layer").alias("layer"))
+    return items.withColumn("__k", key("domain")).join(of, "__k", "left").withColumn("layer", F.coalesce("layer", F.lit(-1))).drop("__k")
 
 
 def with_names(items: DataFrame, refs: DataFrame, names: DataFrame) -> DataFrame:
@@ -267,11 +267,11 @@ def gap_rows(answers: DataFrame) -> DataFrame:
     return answers.filter("coverage = 'none'").select("doc_id", "question", F.array_join(F.slice("missing", 1, 5), "; ").alias("missing"))
 
 
-def skill_search(skills: DataFrame, query: str) -> DataFrame:
-    """Skills whose name, description or a keyword holds the query, most confident first by rank."""
+def skill_search(skills: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Skills whose name, description or a keyword holds the query, the ``limit`` most confident by rank."""
     q = query.lower()
     hit = F.lower("skill_name").contains(q) | F.coalesce(F.lower("description").contains(q), F.lit(False)) | F.exists("keywords", lambda k: F.lower(k).contains(q))
-    return skills.filter(hit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "skill_name"))).select("skill_name", "rank")
+    return skills.filter(hit).orderBy(F.desc("confidence"), "skill_name").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "skill_name"))).select("skill_name", "rank")
 
 
 def skill_run_rows(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -118,13 +118,12 @@ def promotion_history(promoted: DataFrame, as_of: str) -> DataFrame:
 
 def injection_text(memories: DataFrame, budget: int = 400) -> DataFrame:
     """(section, text): four sections by tier and layer, latest first, each cut at four characters a token.
+"""
+    from lodeweave.operators.text import leading_text
 
-    Only the newest 50 of a section can fit and are gathered."""
     section = F.when(F.col("tier") == "core", "core").when(F.col("layer") == "semantic", "knowledge").when(F.col("layer") == "procedural", "skills").otherwise("session")
-    w = Window.partitionBy("section").orderBy(F.desc_nulls_last("last_accessed"), "memory_id")
-    top = memories.filter("content is not null and length(content) > 0").withColumn("section", section).withColumn("r", F.row_number().over(w)).filter("r <= 50")
-    lines = top.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("r", F.col("content").alias("c")))).alias("x"))
-    return lines.select("section", F.substring(F.array_join(F.transform("x", lambda s: F.concat(F.lit("- "), s["c"])), "\n"), 1, 4 * budget).alias("text"))
+    rows = memories.filter("content is not null and length(content) > 0").withColumn("section", section)
+    return leading_text(rows, "section", [F.desc_nulls_last("last_accessed"), F.col("memory_id")], F.concat(F.lit("- "), "content"), 4 * budget)
 
 
 def entity_memories(memories: DataFrame) -> DataFrame:
@@ -169,7 +168,11 @@ def skill_confidence(stats: DataFrame, prior: float = 0.5) -> DataFrame:
 
 
 def skill_ema(runs: DataFrame, alpha: float = 0.3, prior: float = 0.5, last: int = 100) -> DataFrame:
-    """(skill_name, ema): the moving average folded over each skill's last runs in order."""
+    """(skill_name, ema): the moving average folded over each skill's runs in order.
+
+    A step shrinks what was before by 1 - alpha, clamped or not, so the runs before the last ``last`` change
+    the result by less than (1 - alpha) ** last (3e-16 for 100), below the six places given; they are not
+    folded, so that a skill with any number of runs is one short list."""
     w = Window.partitionBy("skill_name").orderBy(F.desc("executed_at"), F.desc("run_id"))
     top = runs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= last)
     seq = top.groupBy("skill_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("o"), F.col("success").cast("double").alias("v")))).alias("s"))

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STOP = "a an and are as at be by for from in is it its of on or that the this to was were with".split()
-UNIVERSAL = "always never all every any only must"
-DIRECTIONAL = "increase|decrease|raise|lower|improve|degrade|reduce|higher|larger|smaller"
 # The decimal powers of SI suffixes.
 SI = {"T": 1e12, "G": 1e9, "MEG": 1e6, "K": 1e3, "M": 1e-3, "U": 1e-6, "N": 1e-9, "P": 1e-12, "F": 1e-15}
 
@@ -97,6 +96,7 @@ def caption_kind(c: Column) -> Column:
     return out
 
 
+# Fixed value: how the grounding rule splits a name into words, in ``grounded`` below.
 def grounded(name: Column, text: Column) -> Column:
     """The name occurs in the text, or half of its words of three letters do; a name without such words counts as grounded."""
     n, t = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
@@ -114,32 +114,63 @@ def parameter_grounded(symbol: Column, name: Column, text: Column) -> Column:
     return ((s != "") & t.contains(s)) | ((F.length(flat) >= 2) & t.contains(flat)) | ((n != "") & (t.contains(n) | by_words))
 
 
+def _greek() -> dict[str, str]:
+    """Small Greek letters by name, from the character database."""
+    named = ((chr(c), unicodedata.name(chr(c), "")) for c in range(0x3B1, 0x3CA))
+    return {c: n.split()[-1].lower().replace("lamda", "lambda") for c, n in named if n.startswith("GREEK SMALL LETTER ") and "FINAL" not in n} | {"µ": "mu"}
+
+
 def equation_key(c: Column) -> Column:
     """Lower case letters and digits; Greek letters and their commands by name, other commands dropped."""
     s = F.lower(F.coalesce(c, F.lit("")))
-    for g, n in (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("μ", "mu"), ("ω", "omega"), ("σ", "sigma"), ("π", "pi")):
-        s = F.regexp_replace(F.replace(s, F.lit(g), F.lit(n)), rf"\\{n}(?![a-z])", n)
+    names = _greek()
+    for g, n in names.items():
+        s = F.replace(s, F.lit(g), F.lit(n))
+    s = F.regexp_replace(s, r"\\(" + "|".join(sorted(set(names.values()), key=lambda n: (-len(n), n))) + ")(?![a-z])", "$1")
     return F.regexp_replace(F.regexp_replace(s, r"\\[a-z]+", " "), "[^a-z0-9]+", "")
 
 
 def _common(a: str, b: str) -> str:
-    """Longest common substring by growing a window over suffix-free set lookups."""
-    if len(a) > len(b):
-        a, b = b, a
-    lo, hi, best = 0, len(a), ""
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        seen = {b[i : i + mid] for i in range(len(b) - mid + 1)}
-        hit = next((a[i : i + mid] for i in range(len(a) - mid + 1) if a[i : i + mid] in seen), None)
-        if hit is None:
-            hi = mid - 1
-        else:
-            lo, best = mid, hit
-    return best
+    """Longest common substring, the first in b of several: b is read through a suffix automaton of a, whose size is linear in a."""
+    to: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for ch in a:
+        cur = len(to)
+        to.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and ch not in to[p]:
+            to[p][ch] = cur
+            p = link[p]
+        if p >= 0:
+            q = to[p][ch]
+            if length[q] == length[p] + 1:
+                link[cur] = q
+            else:
+                twin = len(to)
+                to.append(dict(to[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and to[p].get(ch) == q:
+                    to[p][ch] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    state = size = best = end = 0
+    for i, ch in enumerate(b):
+        while state and ch not in to[state]:
+            state = link[state]
+            size = length[state]
+        if ch in to[state]:
+            state, size = to[state][ch], size + 1
+        if size > best:
+            best, end = size, i + 1
+    return b[end - best : end]
 
 
 def common_substring(a: Column, b: Column) -> Column:
-    """The longest common substring, the first in the shorter text of several; '' for none."""
+    """The longest common substring, the first in b of several; '' for none."""
 
     @F.pandas_udf("string")
     def common(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -153,14 +184,17 @@ def equation_grounded(latex: Column, variables: Column, text: Column) -> Column:
     An equation without variables or without a key counts as grounded."""
     k = equation_key(latex)
     s = common_substring(k, equation_key(text))
-    inside = F.array_join(F.transform(variables, equation_key), "|").contains(s)  # keys hold no bar, so no match crosses two
+    heads = F.transform(variables, lambda v: equation_key(F.regexp_extract(v, r"^[^:(]*", 0)))  # what a note or unit adds is no name
+    inside = F.array_join(heads, "|").contains(s)  # keys hold no bar, so no match crosses two
     return (F.size(variables) <= 0) | (k == "") | ((F.length(s) >= 4) & (s.rlike("[0-9]") | ~F.coalesce(inside, F.lit(False))))
 
 
-def scope_widened(description: Column, text: Column) -> Column:
-    """A directional description uses a universal word that the text does not."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\b(" + UNIVERSAL.replace(" ", "|") + r")\b"), F.lit(1))
-    return F.coalesce(F.lower(description).rlike(DIRECTIONAL), F.lit(False)) & (F.size(F.array_except(words(description), words(text))) > 0)
+def scope_widened(description: Column, text: Column, directional: tuple[str, ...], universal: tuple[str, ...]) -> Column:
+    """A description with a directional word (a stem) uses a universal word that the text does not; both lists are inputs."""
+    every = r"\b(" + "|".join(map(re.escape, universal)) + r")\b"
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(every), F.lit(1))
+    tends = F.coalesce(F.lower(description).rlike(r"\b(" + "|".join(map(re.escape, directional)) + ")"), F.lit(False))
+    return tends & (F.size(F.array_except(words(description), words(text))) > 0)
 
 
 def edges_grounded(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -305,10 +339,21 @@ def paragraphs(documents: DataFrame, sep: str = r"\r?\n\s*\r?\n") -> DataFrame:
     return out.select("doc_id", F.col("pos").alias("para"), F.array_join(F.transform("x", lambda s: s["block"]), "\n").alias("text"))
 
 
-def context_text(rows: DataFrame, key: str, order: str, line: Column, budget: int) -> DataFrame:
-    """(key, text): a key's first 50 lines in order, cut at four characters a token with a marker."""
-    w = Window.partitionBy(key).orderBy(order)
-    top = rows.withColumn("l", line).withColumn("r", F.row_number().over(w)).filter("r <= 50")
-    g = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "l"))).alias("x"))
+def leading_text(rows: DataFrame, key: str, order: list[Column], line: Column, limit: int, marker: str = "") -> DataFrame:
+    """(key, text): the lines of a key in order, joined by line ends and cut at ``limit`` characters, with ``marker`` where cut.
+
+    Each line takes at least the one character of its line end, so only the first limit + 1 lines can
+    show: these are kept by a ranked filter that works before the shuffle, and of them the lines that
+    begin within the limit by the running sum of lengths. Nothing that shows is left out."""
+    w = Window.partitionBy(key).orderBy(*order)
+    top = rows.withColumn("l", F.coalesce(line, F.lit(""))).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit + 1)
+    before = F.sum(F.length("l") + 1).over(Window.partitionBy(key).orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    kept = top.withColumn("b", F.coalesce(before, F.lit(0))).filter(F.col("b") <= limit)
+    g = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "l"))).alias("x"))
     full = F.array_join(F.transform("x", lambda s: s["l"]), "\n")
-    return g.select(key, F.when(F.length(full) > 4 * budget, F.concat(F.substring(full, 1, 4 * budget), F.lit(" [...]"))).otherwise(full).alias("text"))
+    return g.select(key, F.when(F.length(full) > limit, F.concat(F.substring(full, 1, limit), F.lit(marker))).otherwise(full).alias("text"))
+
+
+def context_text(rows: DataFrame, key: str, order: str, line: Column, budget: int) -> DataFrame:
+    """(key, text): a key's lines in order, cut at four characters a token with a marker."""
+    return leading_text(rows, key, [F.col(order)], line, 4 * budget, " [...]")

@@ -29,12 +29,19 @@ _DELTA = """(select src_id, rel_type, dst_id, 0.99e0 confidence, cast(1 as bigin
 union all select src_id, 'RELATES_TO', case when src_id < 'sup:5' then 'nat:0' else 'nat:999' end, 0.5e0, cast(1 as bigint), last_reinforced from edges where rel_type = 'SUB_BLOCK')"""
 
 
+def _chunk_ids(s, d):
+    """Chunks as nodes with ids of 16 hex digits after the scheme."""
+    return view(s, d, "chunks").select(F.concat("chunk_id", F.substring(F.md5("chunk_id"), 1, 4)).alias("node_id"), "chunk_id", "retracted")
+
+
 def _requests(s, d):
-    n = view(s, d, "nodes").filter("label = 'Parameter'")
-    return n.select(F.col("node_id").alias("request")).unionByName(n.select(F.substring("node_id", 1, 6).alias("request"))).unionByName(n.select(F.concat("node_id", F.lit("x")).alias("request")))
+    n = _chunk_ids(s, d)
+    every = [F.col("node_id"), F.col("chunk_id"), F.substring("node_id", 1, 16), F.concat("chunk_id", F.lit("zz")), F.substring("node_id", 1, 19)]
+    return n.select(F.explode(F.array(*every)).alias("request"))
 
 
-_REQ = "(select node_id request from nodes where label = 'Parameter' union all select substr(node_id, 1, 6) from nodes where label = 'Parameter' union all select node_id || 'x' from nodes where label = 'Parameter')"
+_NID = "(select chunk_id || substr(md5(chunk_id), 1, 4) node_id, chunk_id, retracted from chunks)"
+_REQ = f"(select unnest([node_id, chunk_id, substr(node_id, 1, 16), chunk_id || 'zz', substr(node_id, 1, 19)]) request from {_NID} i)"
 
 
 def _new_nodes(s, d):
@@ -45,19 +52,19 @@ def _new_nodes(s, d):
 Q = {
     "graph_get_node": (lambda s, d: G.get_node(view(s, d, "nodes"), "Parameter", "prt:17"), "select * from nodes where label = 'Parameter' and node_id = 'prt:17'"),
     "graph_by_any_id": (lambda s, d: G.by_any_id(view(s, d, "nodes"), "nat:5"), "select * from nodes where node_id = 'nat:5' order by label limit 1"),
-    "graph_resolve_prefix": (lambda s, d: G.resolve_prefix(_requests(s, d), view(s, d, "nodes")), f"""
-        select r.request, case when max(case when n.node_id = r.request then 1 end) = 1 then r.request else min(n.node_id) end node_id
-        from (select distinct request from {_REQ} q) r join (select distinct node_id from nodes where {_LIVE}) n on starts_with(n.node_id, r.request) and length(r.request) >= 6
-        group by r.request having count(*) = 1 or max(case when n.node_id = r.request then 1 end) = 1"""),
-    "graph_resolution_class": (lambda s, d: G.resolution_class(_requests(s, d), view(s, d, "nodes")), f"""
+    "graph_resolve_prefix": (lambda s, d: G.resolve_prefix(_requests(s, d), _chunk_ids(s, d)), f"""
+        , r as (select distinct request from {_REQ} q), n as (select distinct node_id from {_NID} i where {_LIVE}),
+        h as (select request, node_id from r join n on substr(request, 1, 18) = substr(node_id, 1, 18) and starts_with(node_id, request))
+        select request, coalesce(max(case when node_id = request then node_id end), min(node_id)) node_id from h group by 1 having count(*) = 1 or bool_or(node_id = request)"""),
+    "graph_resolution_class": (lambda s, d: G.resolution_class(_requests(s, d), _chunk_ids(s, d)), f"""
         select r.request, case when n is null then 'missing' when n > 1 then 'ambiguous' when gone then 'retracted' else 'active' end resolution
-        from (select distinct request from {_REQ} q) r left join (select node_id, count(*) n, bool_and(coalesce(retracted, false)) gone from nodes group by 1) x on x.node_id = r.request"""),
+        from (select distinct request from {_REQ} q) r left join (select node_id, count(*) n, bool_and(coalesce(retracted, false)) gone from {_NID} i group by 1) x on x.node_id = r.request"""),
     "graph_text_search": (lambda s, d: G.text_search(view(s, d, "nodes"), "Blue"), f"""
         select node_id, label, name from nodes where {_LIVE} and label in ('Concept','Equation','Principle','CircuitTopology','Parameter') and lower(name) like '%blue%'
         order by case when lower(name) = 'blue' then 0 else 1 end, name, node_id limit 20"""),
     "graph_counts_by_label": (lambda s, d: G.counts_by_label(view(s, d, "nodes")), "select label, count(*) n from nodes group by 1"),
     "graph_counts_by_type": (lambda s, d: G.counts_by_type(view(s, d, "edges"), view(s, d, "nodes")), f"""
-        select rel_type, count(*) n from edges where src_id in (select node_id from nodes where {_LIVE}) and dst_id in (select node_id from nodes where {_LIVE}) group by 1"""),
+        select rel_type, count(*) n from edges where src_id in (select node_id from nodes where {_LIVE} and label <> 'Session') and dst_id in (select node_id from nodes where {_LIVE} and label <> 'Session') group by 1"""),
     "graph_degree": (lambda s, d: G.degree(view(s, d, "nodes"), view(s, d, "edges")), f"select n.node_id, count(a) degree from nodes n left join {_SYM} e on e.a = n.node_id group by 1"),
     "graph_neighbour_set": (lambda s, d: G.neighbour_set(view(s, d, "edges"), view(s, d, "nodes"), "Principle"), f"select distinct a node_id, b neighbour_id from {_SYM} e where b in (select node_id from nodes where label = 'Principle')"),
     "graph_neighbourhood": (lambda s, d: G.neighbourhood(view(s, d, "edges"), _starts(s, d)), f"""
@@ -79,13 +86,14 @@ Q = {
         where rel_type in ('DEPENDS_ON', 'SUB_BLOCK') and not (x.label is not distinct from 'Concept' and y.label is not distinct from 'Parameter')"""),
     "graph_duplicate_names": (lambda s, d: G.duplicate_names(view(s, d, "nodes")), "select lower(trim(name)) as key, count(*) n, min(node_id) first_id from nodes where name is not null group by 1 having count(*) > 1"),
     "graph_duplicate_names_scoped": (lambda s, d: G.duplicate_names(view(s, d, "nodes"), "domain"), "select lower(trim(name)) as key, domain, count(*) n, min(node_id) first_id from nodes where name is not null group by 1, 2 having count(*) > 1"),
-    "graph_reinforced_nodes": (lambda s, d: G.reinforced_nodes(view(s, d, "nodes"), view(s, d, "edges").filter("rel_type = 'DEPENDS_ON'").select(F.col("src_id").alias("node_id"))), """
-        select n.node_id, case when confidence < 0.95 then confidence + 0.02e0 else 0.95e0 end confidence, reinforcement_count + h reinforcement_count
-        from nodes n join (select src_id, count(*) h from edges where rel_type = 'DEPENDS_ON' group by 1) on src_id = node_id"""),
-    "graph_reinforced_edges": (lambda s, d: G.reinforced_edges(view(s, d, "edges")), "select src_id, rel_type, dst_id, case when confidence < 0.95e0 then confidence + 0.03e0 else 0.95e0 end confidence, reinforcement_count + 1 reinforcement_count from edges"),
+    "graph_reinforced_nodes": (lambda s, d: G.reinforced_nodes(view(s, d, "nodes"), view(s, d, "edges").filter("rel_type = 'DEPENDS_ON' and reinforcement_count > 1 or rel_type = 'RECORDED' and dst_id < 'nat:15'").select(F.explode(F.array("src_id", "src_id")).alias("node_id"))).withColumn("confidence", F.round("confidence", 6)), """
+        , h as (select src_id node_id, 2 * count(*) h from edges where rel_type = 'DEPENDS_ON' and reinforcement_count > 1 or rel_type = 'RECORDED' and dst_id < 'nat:15' group by 1)
+        select n.node_id, round(list_reduce(list_prepend(coalesce(confidence, 0.7e0), list_transform(range(h), lambda i: 0e0)), lambda a, x: case when round(a, 9) < 0.95e0 then a + 0.02e0 else 0.95e0 end), 6) confidence, coalesce(reinforcement_count, 1) + h reinforcement_count
+        from nodes n join h on h.node_id = n.node_id"""),
+    "graph_reinforced_edges": (lambda s, d: G.reinforced_edges(view(s, d, "edges")), "select src_id, rel_type, dst_id, case when coalesce(confidence, 0.7e0) < 0.95e0 then coalesce(confidence, 0.7e0) + 0.03e0 else 0.95e0 end confidence, coalesce(reinforcement_count, 1) + 1 reinforcement_count from edges"),
     "graph_linear_decay": (lambda s, d: G.linear_decay(view(s, d, "edges"), "2002-01-01 00:00:00").select("src_id", "rel_type", "dst_id", F.round("confidence", 6).alias("confidence")), """
         select src_id, rel_type, dst_id, round(case when last_reinforced < timestamp '2002-01-01' - interval 30 day and confidence > 0.3e0 then greatest(confidence - 0.1e0, 0.3e0) else confidence end, 6) confidence from edges"""),
-    "graph_reinforcement_stats": (lambda s, d: G.reinforcement_stats(view(s, d, "edges")), "select count(*) n, round(avg(confidence), 3) avg_confidence, round(avg(reinforcement_count), 1) avg_reinforcement, max(reinforcement_count) max_reinforcement from edges"),
+    "graph_reinforcement_stats": (lambda s, d: G.reinforcement_stats(view(s, d, "edges")), "select count(*) n, round(avg(coalesce(confidence, 0.7e0)), 3) avg_confidence, round(avg(coalesce(reinforcement_count, 1)), 1) avg_reinforcement, max(coalesce(reinforcement_count, 1)) max_reinforcement from edges"),
     "graph_merge_nodes": (lambda s, d: G.merge_nodes(view(s, d, "nodes"), _new_nodes(s, d)), """
         select label, node_id, name, 'moved' domain, description, 0.25e0 confidence, reinforcement_count, retracted from nodes where label = 'Concept'
         union all select label, node_id || '_new', upper(name), 'moved', 'new', 0.5e0, null, null from nodes where label = 'Concept' union all select * from nodes where label <> 'Concept'"""),
@@ -95,13 +103,13 @@ Q = {
         select * from edges where rel_type <> 'SUB_BLOCK' union all select * from {_DELTA} x where dst_id in (select node_id from nodes)"""),
     "graph_merge_edges_rejected": (lambda s, d: G.merge_edges(view(s, d, "edges"), _delta(s, d), view(s, d, "nodes"))[1], f"select * from {_DELTA} x where dst_id not in (select node_id from nodes)"),
     "graph_reinforce_by_delta": (lambda s, d: G.reinforce_by_delta(view(s, d, "edges"), _delta(s, d).withColumnRenamed("last_reinforced", "at")), """
-        select src_id, rel_type, dst_id, confidence, reinforcement_count + case when rel_type = 'SUB_BLOCK' then 1 else 0 end reinforcement_count, last_reinforced from edges"""),
+        select src_id, rel_type, dst_id, confidence, coalesce(reinforcement_count, 1) + case when rel_type = 'SUB_BLOCK' then 1 else 0 end reinforcement_count, last_reinforced from edges"""),
     "graph_survivors_of_names": (lambda s, d: G.survivors_of_names(view(s, d, "nodes"), view(s, d, "edges")), f"""
-        , dg as (select n.node_id, label, lower(trim(name)) k, reinforcement_count rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
+        , dg as (select n.node_id, label, lower(trim(name)) k, coalesce(reinforcement_count, 1) rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
         r as (select *, first_value(node_id) over (partition by label, k order by dg desc, rc desc, node_id) survivor_id from dg where k is not null)
         select node_id, survivor_id from r where node_id <> survivor_id"""),
     "graph_dedupe_rewired": (lambda s, d: G.rewire(view(s, d, "edges"), G.survivors_of_names(view(s, d, "nodes"), view(s, d, "edges"))), f"""
-        , dg as (select n.node_id, label, lower(trim(name)) k, reinforcement_count rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
+        , dg as (select n.node_id, label, lower(trim(name)) k, coalesce(reinforcement_count, 1) rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
         m as (select node_id, first_value(node_id) over (partition by label, k order by dg desc, rc desc, node_id) survivor_id from dg where k is not null),
         f as (select coalesce(x.survivor_id, src_id) src_id, rel_type, coalesce(y.survivor_id, dst_id) dst_id, confidence, reinforcement_count,
               (coalesce(x.survivor_id, src_id) <> src_id or coalesce(y.survivor_id, dst_id) <> dst_id)::int moved from edges left join m x on x.node_id = src_id left join m y on y.node_id = dst_id)
@@ -110,7 +118,7 @@ Q = {
     "graph_retract": (lambda s, d: G.retract(view(s, d, "nodes"), _starts(s, d), "withdrawn").filter("retracted").select("node_id", "retraction_reason"), "select node_id, case when node_id in ('nat:3','nat:7') then 'withdrawn' end retraction_reason from nodes where retracted or node_id in ('nat:3','nat:7')"),
     "graph_add_aliases": (lambda s, d: G.add_aliases(view(s, d, "topology_nodes").withColumnRenamed("topology_id", "node_id"), view(s, d, "topology_nodes").select(F.col("topology_id").alias("node_id"), F.lower("name").alias("alias"))), """
         select topology_id node_id, list_filter(case when list_contains(coalesce(aliases, []), lower(name)) then coalesce(aliases, []) else list_append(coalesce(aliases, []), lower(name)) end, lambda a: a <> name) aliases from topology_nodes"""),
-    "graph_live_export_counts": (lambda s, d: G.counts_by_label(G.live(view(s, d, "nodes")).filter(~F.col("label").isin(*G.PRIVATE_LABELS))), f"select label, count(*) n from nodes where {_LIVE} group by 1"),
+    "graph_live_export_counts": (lambda s, d: G.counts_by_label(G.live(view(s, d, "nodes")).filter(~F.col("label").isin(*G.PRIVATE_LABELS))), f"select label, count(*) n from nodes where {_LIVE} and label <> 'Session' group by 1"),
     "graph_components": (lambda s, d: C.connected_components(view(s, d, "edges"), "src_id", "dst_id"), None),
     "graph_component_sizes": (lambda s, d: C.connected_components(view(s, d, "edges").filter("rel_type = 'BRIDGES_TO'"), "src_id", "dst_id").groupBy("component").agg(F.count(F.lit(1)).alias("n")), """
         , k as (select node_id, 'sup:' || cast(min(s) over (partition by s % 3) as varchar) from (select node_id, cast(substr(node_id, 5) as bigint) s from nodes where label = 'Concept'))

@@ -12,7 +12,6 @@ from lodeweave.plans import resolution as PR
 from lodeweave.plans import text as PT
 from lodeweave.sources.views import view, with_views
 
-_LABELS = "['device', 'Circuit ', 'system', 'other']"
 _NAMEKEY = r"trim(regexp_replace(regexp_replace(lower({}), '[_-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -52,7 +51,7 @@ def _remap(s, d):
 
 
 _SYM = "(select src_id a from edges union all select dst_id from edges)"
-_RM = f""", dg as (select n.node_id, label, lower(trim(name)) k, reinforcement_count rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
+_RM = f""", dg as (select n.node_id, label, lower(trim(name)) k, coalesce(reinforcement_count, 1) rc, count(a) dg from nodes n left join {_SYM} e on e.a = n.node_id group by 1, 2, 3, 4),
 rm as (select * from (select node_id, first_value(node_id) over (partition by label, k order by dg desc, rc desc, node_id) survivor_id from dg where k is not null) where node_id <> survivor_id)"""
 
 
@@ -63,7 +62,7 @@ def _proposals(s, d):
 
 
 def _new(s, d):
-    return view(s, d, "nodes").filter("label <> 'Parameter'").select("label", F.concat("node_id", F.lit("n")).alias("node_id"), "name", "domain", "description", "confidence", "reinforcement_count", "retracted")
+    return view(s, d, "nodes").filter("label not in ('Parameter', 'Session')").select("label", F.concat("node_id", F.lit("n")).alias("node_id"), "name", "domain", "description", "confidence", "reinforcement_count", "retracted")
 
 
 def _newedges(s, d):
@@ -90,7 +89,7 @@ Q = {
     "kg_proposed_properties": (lambda s, d: view(s, d, "nodes").select("node_id", F.array_join(F.map_keys(K.proposed_properties(F.create_map(F.lit("name"), "name", F.lit("domain"), "domain", F.lit("x_id"), "node_id", F.lit("_p"), "node_id", F.lit("note"), "description"))), ",").alias("keys")), "select node_id, 'domain,note' as keys from nodes"),
     "kg_scalar_text": (lambda s, d: ins(s, d).select("id", K.scalar_text(F.col("evidence_chunk_ids")).alias("text")), "select insight_id id, array_to_string(list_filter(coalesce(evidence_chunk_ids, []), lambda x: trim(coalesce(x, '')) <> ''), ' ; ') as text from insights"),
     "kg_coerced": (lambda s, d: view(s, d, "part").select("p_partkey", K.coerced(F.array(F.lit(None).cast("string"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "x").when(F.col("p_partkey") % 3 == 1, "2.5").otherwise("7"))).alias("c")).select("p_partkey", "c.kind", F.size("c.items").cast("long").alias("n")), "select p_partkey, case p_partkey % 3 when 0 then 'string' when 1 then 'double' else 'int' end kind, 2::bigint n from part"),
-    "kg_layer": (lambda s, d: view(s, d, "supplier").select("s_suppkey", K.layer(F.element_at(F.array(*map(F.lit, ["device", "Circuit ", "system", "other"])), (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("layer")), "select s_suppkey, [0, 1, 2, -1][s_suppkey % 4 + 1] layer from supplier"),
+    "kg_layer": (lambda s, d: K.layered(view(s, d, "part").select("p_partkey", F.upper("p_brand").alias("domain")), view(s, d, "part").filter("p_size > 10").groupBy("p_brand").agg(F.min("p_size").alias("layer")).select(F.concat("p_brand", F.lit(" ")).alias("domain"), "layer")).select("p_partkey", "layer"), "with l as (select p_brand, min(p_size) layer from part where p_size > 10 group by 1) select p_partkey, coalesce(layer, -1) layer from part left join l using (p_brand)"),
     "kg_with_names": (lambda s, d: K.with_names(ins(s, d).filter("not coalesce(reviewed, false)").select("id"), _refs(s, d), _chunk_names(s, d)), "select i.insight_id id, coalesce(n, '') as names from (select insight_id from insights where not coalesce(reviewed, false)) i left join (select insight_id, string_agg(distinct section_title, '; ' order by section_title) n from (select insight_id, unnest(evidence_chunk_ids) chunk_id from insights) join chunks using (chunk_id) where section_title is not null group by 1) g using (insight_id)"),
     "kg_open_items": (lambda s, d: K.open_items(ins(s, d).select("id", "confidence"), _refs(s, d), _chunk_names(s, d).filter("name = 'Noise budget'")), "select insight_id id, confidence from insights where exists (select 1 from chunks where section_title = 'Noise budget' and list_contains(evidence_chunk_ids, chunk_id)) order by confidence desc nulls last, insight_id limit 5"),
     "kg_specimen_evidence": (lambda s, d: K.specimen_evidence(view(s, d, "link_requests").withColumn("target", F.lower("match_text")), _laws_by_target(s, d)), "with l as (select lower(name) target, min('law_' || topology_id) law_id from topology_nodes group by 1) select split_part(source_id_value, ':', 1) spec_id, count(distinct case when contains(source_id_value, ':') then source_id_value end) n_claims, coalesce(string_agg(distinct case when contains(source_id_value, ':') then source_id_value end, ',' order by case when contains(source_id_value, ':') then source_id_value end), '') claims, coalesce(string_agg(distinct law_id, ',' order by law_id), '') laws from link_requests left join l on target = lower(match_text) group by 1"),
@@ -104,7 +103,7 @@ Q = {
     "kg_hypothesis_status": (lambda s, d: K.hypothesis_status(ins(s, d).select("id", F.lit("open").alias("status")), _refs(s, d).select("id", F.when(F.col("ref") < "chunk_4", "confirms").when(F.col("ref") < "chunk_8", "falsifies").otherwise("unclear").alias("conclusion"), F.col("ref").alias("at")).unionByName(s.createDataFrame([("none", "confirms", "x")], "id string, conclusion string, at string"))), ", r as (select insight_id, unnest(evidence_chunk_ids) ref from insights), c as (select insight_id, arg_max(case when ref < 'chunk_4' then 'confirmed' else 'falsified' end, ref) c from r where ref < 'chunk_8' group by 1) select insight_id id, coalesce(c, 'open') status from insights left join c using (insight_id)"),
     "kg_merged_concepts": (lambda s, d: K.merged_concepts(view(s, d, "nodes").withColumn("description", F.when(F.col("reinforcement_count") % 2 == 0, F.col("description"))), _remap(s, d)), _RM + ", nn as (select node_id, name, case when reinforcement_count % 2 = 0 then description end description from nodes), g as (select survivor_id, min(description) dd, list_sort(list_distinct(list(name))) ns from rm join nn using (node_id) group by 1) select n.node_id, name, coalesce(description, dd) description, array_to_string(list_filter(coalesce(ns, []), lambda a: a <> name), ';') aliases from nn n left join g on g.survivor_id = n.node_id where n.node_id not in (select node_id from rm)"),
     "kg_filled": (lambda s, d: K.filled(view(s, d, "chunks").select("chunk_id", "section_title"), "section_title", F.lit("Untitled")), "select chunk_id, case when coalesce(trim(section_title), '') = '' then 'Untitled' else section_title end section_title from chunks"),
-    "kg_embedding_text": (lambda s, d: K.embedding_text(view(s, d, "nodes"), view(s, d, "nodes").filter("label = 'Parameter'")), "select node_id, concat_ws('. ', case when trim(name) <> '' then name end, case when trim(description) <> '' then description end) as text from nodes where label <> 'Parameter'"),
+    "kg_embedding_text": (lambda s, d: K.embedding_text(view(s, d, "nodes"), view(s, d, "nodes").filter("label = 'Parameter'")), "select node_id, concat_ws('. ', case when trim(name) <> '' then name end, case when trim(description) <> '' then description end) as text from nodes where label not in ('Parameter', 'Session')"),
     "kg_specimen_projection": (lambda s, d: K.specimen_projection(view(s, d, "link_requests"), _name_table(s, d))[0], f", n as (select target_label, k, min(node_id) dst_id from {_NT} z group by 1, 2) select distinct source_id_value src_id, rel_type, dst_id from link_requests l join n on n.target_label = l.target_label and n.k = {_NAMEKEY.format('match_text')}"),
     "kg_specimen_unresolved": (lambda s, d: K.specimen_projection(view(s, d, "link_requests"), _name_table(s, d))[1], f", n as (select target_label, k, min(node_id) dst_id from {_NT} z group by 1, 2) select distinct link_id, l.target_label, match_text from link_requests l left join n on n.target_label = l.target_label and n.k = {_NAMEKEY.format('match_text')} where dst_id is null"),
     "kg_superseded": (lambda s, d: K.superseded(view(s, d, "edges").select("src_id", "rel_type", "dst_id", F.when(F.col("rel_type") == "SUB_BLOCK", "proj").alias("origin")), "proj", view(s, d, "edges").filter("rel_type = 'EXTRACTED_FROM'").select("src_id", "rel_type", "dst_id")).groupBy("rel_type", "origin").agg(F.count(F.lit(1)).alias("n")), "select rel_type, null::varchar origin, count(*) n from edges where rel_type <> 'SUB_BLOCK' group by 1 union all select rel_type, 'proj', count(*) from edges where rel_type = 'EXTRACTED_FROM' group by 1"),

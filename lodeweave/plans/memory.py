@@ -67,7 +67,7 @@ Q = {
     "memory_injection_text": (lambda s, d: M.injection_text(m(s, d)), f"""
         , t as (select *, case when tier = 'core' then 'core' when layer = 'semantic' then 'knowledge' when layer = 'procedural' then 'skills' else 'session' end section from memories where content is not null and length(content) > 0),
         r as (select *, row_number() over (partition by section {_ORDER}) r from t)
-        select section, substr(string_agg('- ' || content, chr(10) order by r), 1, 1600) as text from r where r <= 50 group by 1"""),
+        select section, substr(string_agg('- ' || content, chr(10) order by r), 1, 1600) as text from r group by 1"""),
     "memory_by_tag": (lambda s, d: M.entity_memories(m(s, d)), "select lower(trim(t)) tag, count(distinct memory_id) n, max(last_accessed) latest from (select memory_id, last_accessed, unnest(tags) t from memories) where trim(t) <> '' group by 1"),
     "memory_lessons": (lambda s, d: M.tagged(m(s, d).filter("layer = 'semantic'"), ["lesson"]).orderBy(F.desc_nulls_last("created_at"), "memory_id").limit(15).select("memory_id"), "select memory_id from memories where layer = 'semantic' and coalesce(tags, []) && ['lesson'] order by created_at desc nulls last, memory_id limit 15"),
     "memory_sessions": (lambda s, d: M.sessions(m(s, d)), "select session_id, min(created_at) started_at, max(created_at) ended_at, count(*) event_count from memories where trim(session_id) <> '' group by 1"),
@@ -83,7 +83,7 @@ Q = {
         select g.*, errors from (select skill_name, count(*) total, count(*) filter (where success) successes, round(avg(duration_seconds), 6) avg_duration, round(count(*) filter (where success) / count(*), 6) success_rate from skill_runs group by 1) g left join e using (skill_name)"""),
     "skill_confidence": (lambda s, d: M.skill_confidence(M.skill_stats(view(s, d, "skill_runs"))), "select skill_name, round(greatest(0.1e0, least(1e0, 0.3e0 * round(count(*) filter (where success) / count(*), 6) + 0.35e0)), 6) confidence from skill_runs group by 1"),
     "skill_ema": (lambda s, d: M.skill_ema(view(s, d, "skill_runs")), """
-        , l as (select skill_name, list(success::int::double order by executed_at, run_id)[-100:] v from skill_runs group by 1)
+        , l as (select skill_name, list(success::int::double order by executed_at, run_id) v from skill_runs group by 1)
         select skill_name, round(list_reduce(list_prepend(0.5e0, v), lambda a, x: greatest(0.1e0, least(1e0, 0.3e0 * x + 0.7e0 * a))), 6) ema from l"""),
     "skill_recent_runs": (lambda s, d: M.recent_runs(view(s, d, "skill_runs"), "purchase").select("run_id", "executed_at"), "select run_id, executed_at from skill_runs where skill_name = 'purchase' order by executed_at desc, run_id desc limit 10"),
     "skill_route": (lambda s, d: M.route(view(s, d, "skill_runs").select("skill_name").distinct().select("skill_name", F.array(F.lit("run"), F.lit("trim")).alias("keywords"), F.lit("pur.*ase").alias("pattern"), F.lit(0.5).alias("confidence"), F.lit(0.4).alias("history")), "Please check the purchase click"), f"""

@@ -16,7 +16,8 @@ def docs(s, d):
 _STOP = "[" + ",".join(f"'{w}'" for w in T.STOP) + "]"
 _TOK = "list_filter(list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')), lambda q: not list_contains(" + _STOP + ", q))"
 _LINES = ", ln as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 pos from (select doc_id, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) l from documents))"
-_UNI = r"\b(always|never|all|every|any|only|must)\b"
+DIRECTIONAL, UNIVERSAL = ("rise", "fall", "improve", "flatten", "higher", "pull"), ("always", "all", "never", "most")  # made for these tables
+_UNI = r"\b(always|all|never|most)\b"
 _PAGES = """, pg as (select source_id, nullif(regexp_extract(coalesce(pages, ''), '^(\\d+)(?:-(\\d+))?$', 1), '')::int a, coalesce(nullif(regexp_extract(coalesce(pages, ''), '^(\\d+)(?:-(\\d+))?$', 2), '')::int, nullif(regexp_extract(coalesce(pages, ''), '^(\\d+)(?:-(\\d+))?$', 1), '')::int) b from chunks)"""
 
 
@@ -45,7 +46,7 @@ def _rdata(s, d):
 
 def _answers(s, d):
     i = view(s, d, "insights").filter("size(evidence_chunk_ids) > 0")
-    return i.select(F.col("insight_id").alias("doc_id"), F.concat(F.lit("# Finding\n\n"), F.col("statement"), F.lit("\n\n## More\n\nVerified. [cite: "), F.concat_ws("; ", "evidence_chunk_ids"), F.lit("]")).alias("text"))
+    return i.select(F.col("insight_id").alias("doc_id"), F.concat(F.lit("# Finding\n\n"), F.col("statement"), F.lit("\n\n## More\n\nVerified"), F.when(F.col("insight_id") > "insight_4", " in the fast and slow corner").otherwise(""), F.lit(". [ cite : "), F.concat_ws("; ", "evidence_chunk_ids"), F.lit("]")).alias("text"))
 
 
 Q = {
@@ -71,9 +72,9 @@ Q = {
            from chunks join parameter_nodes on right(parameter_id, 1) = translate(right(chunk_id, 1), 'abcdef', '012345'))
         select chunk_id, parameter_id, (s <> '' and contains(t, s)) or (length(f) >= 2 and contains(t, f)) or (n <> '' and (contains(t, n) or (len(ws) > 0 and len(list_filter(ws, lambda w: contains(t, w))) >= 0.5 * len(ws)))) grounded from g"""),
     "text_equation_grounded": (lambda s, d: _params(s, d).select("chunk_id", "parameter_id", T.equation_grounded(F.concat(F.lit(r"\frac{"), "symbol", F.lit("}{"), "name", F.lit("}")), F.array("symbol"), F.col("text_preview")).alias("grounded")), None),
-    "text_scope_widened": (lambda s, d: _evidence(s, d).select("insight_id", "chunk_id", T.scope_widened(F.concat(F.col("statement"), F.when(F.col("chunk_id") < "chunk_8", " It always improves.").otherwise(" All higher.")), F.col("text_preview")).alias("widened")), _EV + rf"""
+    "text_scope_widened": (lambda s, d: _evidence(s, d).select("insight_id", "chunk_id", T.scope_widened(F.concat(F.col("statement"), F.when(F.col("chunk_id") < "chunk_8", " It always improves.").otherwise(" All higher.")), F.col("text_preview"), DIRECTIONAL, UNIVERSAL).alias("widened")), _EV + rf"""
         , w as (select insight_id, chunk_id, lower(statement || case when chunk_id < 'chunk_8' then ' It always improves.' else ' All higher.' end) de, lower(coalesce(text_preview, '')) t from ev)
-        select insight_id, chunk_id, coalesce(regexp_matches(de, '{T.DIRECTIONAL}'), false) and len(list_filter(regexp_extract_all(coalesce(de, ''), '{_UNI}'), lambda q: not list_contains(regexp_extract_all(t, '{_UNI}'), q))) > 0 widened from w"""),
+        select insight_id, chunk_id, coalesce(regexp_matches(de, '\b(rise|fall|improve|flatten|higher|pull)'), false) and len(list_filter(regexp_extract_all(coalesce(de, ''), '{_UNI}'), lambda q: not list_contains(regexp_extract_all(t, '{_UNI}'), q))) > 0 widened from w"""),
     "text_edges_grounded": (lambda s, d: T.edges_grounded(_evidence(s, d).select("chunk_id", F.upper("section_title").alias("source_name"), F.when(F.col("insight_id") < "insight_8", F.col("section_title")).otherwise("Nowhere").alias("target_name")), _mentions(s, d).select("chunk_id", "name")), _EV + """
         , mn as (select distinct chunk_id, lower(case when insight_id < 'insight_8' then replace(section_title, ' ', '_') else section_title end) n from ev),
         e as (select chunk_id, upper(section_title) source_name, case when insight_id < 'insight_8' then section_title else 'Nowhere' end target_name from ev)
@@ -109,10 +110,10 @@ Q = {
     "text_recovered_json": (lambda s, d: view(s, d, "events").select("event_id", T.recovered_json(F.concat(F.lit("Sure: ```json\n"), "props", F.lit("\n``` done"))).alias("found")), None),
     "text_paragraphs": (lambda s, d: T.paragraphs(_answers(s, d)), """
         , a as (select insight_id doc_id, evidence_chunk_ids c, statement from insights where len(evidence_chunk_ids) > 0 and statement is not null)
-        select doc_id, 0 para, '# Finding' || chr(10) || statement as text from a union all select doc_id, 2, '## More' || chr(10) || 'Verified. [cite: ' || array_to_string(list_filter(c, lambda x: x is not null), '; ') || ']' from a"""),
+        select doc_id, 0 para, '# Finding' || chr(10) || statement as text from a union all select doc_id, 2, '## More' || chr(10) || 'Verified' || case when doc_id > 'insight_4' then ' in the fast and slow corner' else '' end || '. [ cite : ' || array_to_string(list_filter(c, lambda x: x is not null), '; ') || ']' from a"""),
     "text_context": (lambda s, d: T.context_text(view(s, d, "chunks").filter("text_preview is not null and source_id is not null"), "source_id", "chunk_id", F.concat("chunk_id", F.lit(": "), "text_preview"), 500), """
         , t as (select source_id, chunk_id || ': ' || text_preview l, row_number() over (partition by source_id order by chunk_id) r from chunks where text_preview is not null and source_id is not null),
-        g as (select source_id, string_agg(l, chr(10) order by r) f from t where r <= 50 group by 1)
+        g as (select source_id, string_agg(l, chr(10) order by r) f from t group by 1)
         select source_id, case when length(f) > 2000 then substr(f, 1, 2000) || ' [...]' else f end as text from g"""),
 }
 

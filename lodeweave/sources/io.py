@@ -9,7 +9,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators.graph import PRIVATE_LABELS, live
@@ -63,8 +63,14 @@ def check_header(lines: DataFrame) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of text files."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    """(path, n, line) of text files, n the line's number in its file.
+
+    A text split knows its place in the file but not how many lines lie before it: lines are counted per
+    split, the counts are summed over the earlier splits of a file, and numbers inside a split follow its order."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    per = raw.groupBy("path", "at").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
+    before = F.sum("k").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return raw.join(F.broadcast(per.withColumn("before", F.coalesce(before, F.lit(0)))), ["path", "at"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("n"), "line")
 
 
 def run_rows(lines: DataFrame) -> DataFrame:
@@ -107,17 +113,20 @@ def checkpoint_totals(done: DataFrame) -> DataFrame:
     return once.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("r.tokens").alias("n_tokens"), F.count_if("r.failed").alias("n_errors"))
 
 
-def note(nodes: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, content): a Markdown note per live node: front matter, title, typed links (the first 50)."""
+def note(nodes: DataFrame, names: DataFrame, edges: DataFrame, per_part: int = 1000) -> DataFrame:
+    """(path, part, content): a Markdown note per live node: front matter, title, all its typed links.
+
+    Part 0 holds front matter and title; the links of a node with more than ``per_part`` are spread over so
+    many parts by a hash of their target, so that no row gathers a hub. Parts follow one another in the file."""
     f = names.select(F.col("id").alias("node_id"), "file_name")
-    links = edges.join(f.withColumnRenamed("node_id", "dst_id"), "dst_id").withColumn("l", F.concat(F.lit("- "), "rel_type", F.lit(" [["), "file_name", F.lit("]]")))
-    from pyspark.sql import Window
-
-    top = links.withColumn("r", F.row_number().over(Window.partitionBy("src_id").orderBy("rel_type", "dst_id"))).filter("r <= 50")
-    g = top.groupBy(F.col("src_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "l"))), lambda s: s["l"]), "\n").alias("links"))
-    j = live(nodes).join(f, "node_id").join(g, "node_id", "left")
-    body = F.concat(F.lit("---\nid: "), "node_id", F.lit("\n---\n# "), F.coalesce("name", "node_id"), F.lit("\n\n"), F.coalesce("links", F.lit("")))
-    return j.select(F.concat("label", F.lit("/"), "file_name", F.lit(".md")).alias("path"), body.alias("content"))
+    links = edges.join(f.withColumnRenamed("node_id", "dst_id"), "dst_id").select(F.col("src_id").alias("node_id"), "rel_type", "dst_id", F.concat(F.lit("- "), "rel_type", F.lit(" [["), "file_name", F.lit("]]")).alias("l"))
+    many = links.groupBy("node_id").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
+    parted = links.join(many, "node_id").withColumn("part", F.pmod(F.xxhash64("dst_id", "rel_type"), F.col("parts")).cast("int"))
+    g = parted.groupBy("node_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel_type", "dst_id", "l"))), lambda s: s["l"]), "\n").alias("links"))
+    j = live(nodes).join(f, "node_id")
+    head = j.select("node_id", F.concat("label", F.lit("/"), "file_name", F.lit(".md")).alias("path"), F.concat(F.lit("---\nid: "), F.to_json(F.struct(F.col("node_id").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("node_id").alias("v")))) - 6), F.lit("\n---\n# "), F.coalesce("name", "node_id"), F.lit("\n\n")).alias("head"))
+    parts = head.join(g, "node_id", "left").select("path", F.coalesce("part", F.lit(0)).alias("part"), "head", "links")
+    return parts.select("path", "part", F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(F.lit("\n")), F.coalesce("links", F.lit(""))).alias("content"))
 
 
 class _Page(HTMLParser):

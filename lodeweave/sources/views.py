@@ -11,14 +11,16 @@ from lodeweave.session import table
 VIEWS = {
     "nodes": """
         select 'Concept' label, 'sup:' || cast(s_suppkey as string) node_id, s_name name, r_name domain, 'supplier in ' || n_name description,
-               0.5e0 + cast(s_suppkey % 10 as double) / 20 confidence, cast(s_suppkey % 7 as bigint) reinforcement_count, s_suppkey % 11 = 0 retracted
+               case when s_suppkey % 13 <> 0 then 0.5e0 + cast(s_suppkey % 10 as double) / 20 end confidence, cast(s_suppkey % 7 as bigint) reinforcement_count, s_suppkey % 11 = 0 retracted
         from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
         union all
         select 'Parameter', 'prt:' || cast(p_partkey as string), p_name, p_brand, p_type, 0.7e0, cast(p_partkey % 5 as bigint), p_partkey % 11 = 0 from part
         union all
         select 'Principle', 'nat:' || cast(n_nationkey as string), n_name, 'nation', cast(null as string), 0.9e0, cast(1 as bigint), false from nation
         union all
-        select 'Source', 'reg:' || cast(r_regionkey as string), r_name, cast(null as string), cast(null as string), 1e0, cast(1 as bigint), false from region""",
+        select 'Source', 'reg:' || cast(r_regionkey as string), r_name, cast(null as string), cast(null as string), 1e0, cast(1 as bigint), false from region
+        union all
+        select 'Session', 'cus:' || cast(c_custkey as string), c_name, c_mktsegment, cast(null as string), cast(null as double), cast(null as bigint), false from customer""",
     "edges": """
         select 'sup:' || cast(l_suppkey as string) src_id, 'DEPENDS_ON' rel_type, 'prt:' || cast(l_partkey as string) dst_id,
                0.5e0 + 0.5e0 * least(1e0, count(*) / 4e0) confidence, count(*) reinforcement_count, max(l_shipdate) last_reinforced
@@ -26,6 +28,8 @@ VIEWS = {
         union all
         select 'sup:' || cast(s_suppkey as string), 'SUB_BLOCK', 'nat:' || cast(s_nationkey as string), 0.8e0, cast(1 as bigint), cast('1998-01-01 00:00:00' as timestamp_ntz) from supplier
         union all
+        select 'cus:' || cast(c_custkey as string), 'RECORDED', 'nat:' || cast(c_nationkey as string), cast(null as double), cast(null as bigint), cast('1998-06-01 00:00:00' as timestamp_ntz) from customer
+        union all
         select 'nat:' || cast(n_nationkey as string), 'EXTRACTED_FROM', 'reg:' || cast(n_regionkey as string), 1e0, cast(1 as bigint), cast('1999-01-01 00:00:00' as timestamp_ntz) from nation
         union all
         select 'sup:' || cast(a.s_suppkey as string), 'BRIDGES_TO', 'sup:' || cast(b.s_suppkey as string), 0.6e0, cast(1 as bigint), cast('2000-01-01 00:00:00' as timestamp_ntz)

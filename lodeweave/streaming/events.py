@@ -49,9 +49,21 @@ def breaker_stream(calls: DataFrame, key: str, threshold: int = 3) -> DataFrame:
     return calls.groupBy(key).applyInPandasWithState(update, "key string, n_calls long, streak long, open boolean", "n long, streak long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there into an in-memory table and return it."""
+def run_available(stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Process what is there and return the result as a table of files under ``folder``, beside the stream's state.
+
+    Each batch is written to its own part of the folder, so a repeated batch replaces itself. Of complete results
+    the last batch counts; of updates the last row of each ``key``; appended rows all count."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if mode == "complete":
+        out = out.filter(F.col("batch") == out.agg(F.max("batch")).scalar())
+    elif mode == "update":
+        rest = [c for c in out.columns if c not in (key, "batch")]
+        out = out.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
+    return out.drop("batch")
