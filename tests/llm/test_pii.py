@@ -40,11 +40,13 @@ def found(t):
         ("address", "Calle Pellow 1, 2º B, 18634 Orlingham", "point, Calle Pellow 1, 2º B, 18634 Orlingham, closes"),
         ("address", "PO Box 1126, Orlingham", "went to PO Box 1126, Orlingham by courier"),
         ("address", "Unit 18, 1007-1011 Osterfen Street, Tessbrook", "to Unit 18, 1007-1011 Osterfen Street, Tessbrook."),
-        ("person", "Mira de Quartravik", "belongs to Mira de Quartravik, not"),
+        ("person", "Mira de Quartravik", "It is owned by Mira de Quartravik, not"),
         ("person", "Rafe R. Ruvfelvik-Holt", "According to Dr. Rafe R. Ruvfelvik-Holt the bias"),
         ("person", "RAFE NADFELNGO", "thx RAFE NADFELNGO, will"),
-        ("person", "sana dosventès", "Reviewed by sana dosventès."),
-        ("person", "Brenquivik, Rafe", "After lunch Brenquivik, Rafe and the group"),
+        ("person", "Sarah Whitfield", "Please contact Sarah Whitfield today"),
+        ("person", "Kwame Mensah", "Kwame Mensah will attend"),
+        ("person", "W. Harbrasande", "to 5.2 V, later W. Harbrasande and the group"),
+        ("person", "Brenquivik, Rafe", "Reviewed by Brenquivik, Rafe and the group"),
         ("person", "Xerxes Harbrane", "Reviewed by Xerxes Harbrane."),
         ("person", "Jonas al-Lomloska", "@Jonas al-Lomloska please look"),
     ],
@@ -55,7 +57,7 @@ def test_forms(kind, value, text):
 
 @pytest.mark.parametrize(
     "text",
-    ["uses @m85[gm] and v(out)@27 as probes", "Row 20 Cascode Lane of the floorplan", "Street level noise was below 17 uV", "Checkpoint step 2288855 of 20000000 finished.", "from 2025-03-15 10:06:36 onward", "Order code ZQ-6178-18 is obsolete", "The value 0.44564456 came", "Early voltage and Monte Carlo spread", "Project Selwyn Ridge keeps", "Lot 2222-118-4512 was scrapped", "Model card rev 5.1.2-9572 applies", "A Schmitt trigger, the Bode plot and Miller compensation", "Netlist hash 2f84a2c2746da74", "29.13 mS. With Miller compensation", ""],
+    ["uses @m85[gm] and v(out)@27 as probes", "Row 20 Cascode Lane of the floorplan", "Street level noise was below 17 uV", "Checkpoint step 2288855 of 20000000 finished.", "from 2025-03-15 10:06:36 onward", "Order code ZQ-6178-18 is obsolete", "The value 0.44564456 came", "Early voltage and Monte Carlo spread", "Project Selwyn Ridge keeps", "Lot 2222-118-4512 was scrapped", "Model card rev 5.1.2-9572 applies", "A Schmitt trigger, the Bode plot and Miller compensation", "Netlist hash 2f84a2c2746da74", "29.13 mS. With Miller compensation", "Order number 9876543210 came", "the Julia Set and the Analog Platform Group", "to 16.83 V. The dynamic load", "Die Stromquelle im Protokoll", ""],
 )
 def test_look_alikes(text):
     assert found(text) == []
@@ -71,6 +73,24 @@ def test_places_survive_odd_letters():
     assert found(t) == [("person", "Mira Holt")] and pii.find(t)[0][1] == t.index("Mira")
 
 
+def test_given_names_are_learned_and_terms_are_not(spark):
+    """Names known from headers are found in any sentence and in small letters; a pair that is always the same is a term."""
+    rows = [(i, f"From: Ottilie Brae{chr(97 + i)} <x@a.example>\nnone") for i in range(6)]
+    rows += [(20, "yesterday ottilie braemar measured it again"), (21, "then Braemar, Ottilie and we"), (22, "a report by Quirin Vant only"), (23, "OTTILIE VANCE asked")]
+    rows += [(30 + i, "we used the Hartmann Kessel rig") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(r.doc_id, r.start_pos) for r in pii.findings(df).filter("pii_type = 'person'").collect()}
+    assert got == {(i, 6) for i in range(6)} | {(20, 10), (21, 5), (22, 12), (23, 0)}
+    assert {r.redacted for r in pii.redacted(df).filter("doc_id = 20 or doc_id = 30").collect()} == {"yesterday [PERSON] measured it again", "we used the Hartmann Kessel rig"}
+
+
+def test_common_words_are_no_given_names(spark):
+    """A given name that is mostly a word in small letters counts only where it is written as a name."""
+    rows = [(i, f"Reviewed by Will Harper{chr(97 + i)}.") for i in range(3)] + [(10 + i, "this will surely rise") for i in range(9)]
+    got = {r.doc_id for r in pii.findings(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {0, 1, 2}
+
+
 def test_operator(spark):
     rows = [(1, "Reviewed by Mira Holt.", 5), (1, "Reviewed by Mira Holt.", 5), (2, None, 5), (3, "", 5), (4, "x " * 200_000 + "a@b.example", 5), (None, "T 2025550199", 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, start_pos int").withColumn("findings", F.lit("clash"))
