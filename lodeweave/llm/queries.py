@@ -20,6 +20,7 @@ def queries() -> dict:
         "p4_found": lambda s, d: neardup.near_duplicate_pairs(_records(s, d)),
         "p4_groups": lambda s, d: neardup.near_duplicate_groups(_records(s, d)),
         "p5_found": lambda s, d: knn.neighbour_pairs(knn.nearest(table(s, d, "memory_entries"), table(s, d, "knn_probes"))),
+        "p5_neighbours": lambda s, d: knn.all_nearest(table(s, d, "memory_entries")),
         "p6_pack": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_capacities")),
         "p6_unused": lambda s, d: packing.pack_summary(table(s, d, "documents"), table(s, d, "pack_capacities")),
         "p7_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
