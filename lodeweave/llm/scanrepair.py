@@ -46,8 +46,11 @@ for _i, (_true, _seen) in enumerate(CONFUSIONS):
 
 _HYPHENS = "-‐­¬‑"
 _WORD = re.compile(r"(?:[^\W_]|(?<=\w)\||\|(?=[^\W_]))+(?:_[^\W_]+)*")
+_SIMPLE = re.compile(r"[^\W_]+(?:_[^\W_]+)*")  # the same where no bar stands in the text
 _BREAK = re.compile(rf"([^\W\d_][^\W_]*)[{_HYPHENS}]\s*$")
 _JOINED = re.compile(rf"[^\W\d_]+[{_HYPHENS}][^\S\n]*\n\s*\S*")  # a word broken over a line end tells nothing
+_ENDS = re.compile(rf"[{_HYPHENS}]\s*\n")
+_SMALL = re.compile(r"[a-zß-öø-ÿ]{3}")
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _HEAD = re.compile(r"\s*([^\W_]*[^\W\d_][^\W_]*)")
 _PAGE = re.compile(r"\s*[-–—~\[(|]?\s*(?:(?:p|pg|pp)\.|page|seite)?\s*(?:\d{1,4}(?:\s+(?:of|/)\s+\d{1,4})?|[ivxlc]{1,7})\s*[-–—~\])|]?\s*", re.I)
@@ -62,13 +65,17 @@ def shape(word: str) -> str:
     return word.lower().translate(_TRANS)
 
 
+def _raw(line: str) -> list[str]:
+    return _WORD.findall(line) if "|" in line else _SIMPLE.findall(line)
+
+
 def _words(line: str) -> list[str]:
-    return ["#" if w.isdigit() else w for w in _WORD.findall(line)]
+    return ["#" if w.isdigit() else w for w in _raw(line)]
 
 
 def line_key(line: str) -> str | None:
     """A line's words by their strokes, numbers and single letters alike; null for a line of less than two words."""
-    ws = _WORD.findall(line.lower())
+    ws = _raw(line.lower())
     return _keyed(ws) if len(ws) > 1 else None
 
 
@@ -79,15 +86,16 @@ def _keyed(words: list[str]) -> str:
 def grams(text: str) -> list[str]:
     """Words, pairs of words (numbers as #), hyphenated words inside lines, and the keys of whole lines of one text."""
     out: list[str] = []
-    lines = _JOINED.sub("\n", text.lower()).splitlines()
+    low = text.lower()
+    lines = (_JOINED.sub("\n", low) if _ENDS.search(low) else low).splitlines()
     for line in lines:
         ws = _words(line)
         out += ws
-        out += [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+        out += map(" ".join, zip(ws, ws[1:]))
         if "-" in line:
             out += _COMPOUND.findall(line)
     if len(lines) > 1:
-        out += [k for k in map(line_key, text.splitlines()) if k]
+        out += [k for k in map(line_key, low.splitlines()) if k]
     return out
 
 
@@ -168,6 +176,14 @@ class Model:
         self.doubt: dict[str, tuple[float, list[tuple[str, float]]]] = {}
         self.running: set[str] = set()
         self.title: dict[str, str] = {}
+        self.leads: set[str] | None = None
+
+    def may_run(self, line: str) -> bool:
+        """Whether a running line begins with the same word."""
+        if self.leads is None:
+            self.leads = {k[1:].split(" ", 1)[0] for k in self.running}
+        ws = _raw(line.lower())
+        return bool(ws) and ("#" if len(ws[0]) == 1 or ws[0].isdigit() else shape(ws[0])) in self.leads
 
     @classmethod
     def of(cls, counts: dict[str, int]) -> Model:
@@ -255,26 +271,32 @@ def _plain(title: str | None) -> tuple[str, ...]:
     return tuple(shape(w) for w in _WORD.findall(title.lower())) if title else ()
 
 
+_NUMBERED = re.compile(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$")
+
+
 def is_page_number(line: str) -> bool:
     """A page number alone on its line."""
-    return bool(line.strip()) and bool(_PAGE.fullmatch(line))
+    return len(line) < 60 and bool(line.strip()) and bool(_PAGE.fullmatch(line))
 
 
 def is_header(line: str, model: Model, title: str | None = None, section: str | None = None) -> bool:
     """The source's title or the section, with at most two words before or after it; a line that runs through the collection; capitals only."""
-    bare = re.sub(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$", "", line).strip()
-    words = _plain(bare)
-    if not words:
+    bare = _NUMBERED.sub("", line).strip()
+    if not bare:
         return False
+    strokes, words = bare.lower().translate(_TRANS), None
     for known in (_plain(title), _plain(section)):
-        if known and len(words) <= len(known) + 2 and any(words[i : i + len(known)] == known for i in range(len(words) - len(known) + 1)):
+        if known and known[0] in strokes and known[-1] in strokes:
+            words = words or _plain(bare)
             extra = len(words) - len(known)
-            if not extra or len(known) > 1 and not bare.endswith("."):
+            if extra <= 2 and any(words[i : i + len(known)] == known for i in range(extra + 1)) and (not extra or len(known) > 1 and not bare.endswith(".")):
                 return True
-    if line_key(line) in model.running or line_key(bare) in model.running:
+    if (model.may_run(line) and line_key(line) in model.running) or (len(bare) < len(line) and model.may_run(bare) and line_key(bare) in model.running):
         return True
+    if _SMALL.search(bare):
+        return False
     letters = [c for c in bare if c.isalpha()]
-    return len(letters) >= 6 and sum(c.isupper() for c in letters) >= 0.9 * len(letters) and len(words) > 1
+    return len(letters) >= 6 and sum(c.isupper() for c in letters) >= 0.9 * len(letters) and len(bare.split()) > 1
 
 
 def repair(text: str | None, model: Model, title: str | None = None, section: str | None = None, limit: int = 500) -> tuple[str | None, list[str]]:
@@ -302,7 +324,7 @@ def repair(text: str | None, model: Model, title: str | None = None, section: st
                 paragraphs.append(current)
             current = ""
             continue
-        b, h = _BREAK.search(current), _HEAD.match(line)
+        b, h = (_BREAK.search(current), _HEAD.match(line)) if current and current[-1] in _HYPHENS else (None, None)
         if b and h:
             first, second = b.group(1).lower(), h.group(1).lower()
             known = model.n.get(first + second, 0) > 0
@@ -320,7 +342,7 @@ def repair(text: str | None, model: Model, title: str | None = None, section: st
         paragraphs.append(current)
     out = []
     for p in paragraphs:
-        seen = _WORD.findall(p.lower()) if len(p.lower()) == len(p) else [w.lower() for w in _WORD.findall(p)]
+        seen = _raw(p.lower()) if len(p.lower()) == len(p) else [w.lower() for w in _WORD.findall(p)]
         if model.doubt.keys().isdisjoint(seen):
             out.append(p)
             continue
@@ -438,15 +460,17 @@ def _asked(batches, held):
             words = [_words(line) for line in text.lower().splitlines()]
             for i, line in enumerate(lines):
                 ws = words[i]
-                for a, b in zip(ws, ws[1:]):
-                    if may(a) or may(b):
-                        want.add(("p", a, b))
-                if len(ws) == 1 and may(ws[0]):
-                    want.add(("p", ws[0], ws[0]))
+                if any(map(may, ws)):
+                    for a, b in zip(ws, ws[1:]):
+                        if may(a) or may(b):
+                            want.add(("p", a, b))
+                    if len(ws) == 1:
+                        want.add(("p", ws[0], ws[0]))
                 for k in range(i + 1, min(i + 4, len(lines))):  # running lines may stand between
                     if ws and words[k] and (may(ws[-1]) or may(words[k][0])):
                         want.add(("p", ws[-1], words[k][0]))
-                b = _BREAK.search(line)
+                end = line.rstrip()
+                b = _BREAK.search(end) if end and end[-1] in _HYPHENS else None
                 if b:
                     for k in range(i + 1, min(i + 4, len(lines))):
                         h = _HEAD.match(lines[k])
@@ -458,7 +482,7 @@ def _asked(batches, held):
                                 want.add(("p", ws[-2] if len(ws) > 1 else whole, whole))
                                 want.add(("p", whole, words[k][1] if len(words[k]) > 1 else whole))
                 if len(lines) > 1:
-                    for key in {line_key(line), line_key(re.sub(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$", "", line).strip())}:
+                    for key in {line_key(line), line_key(_NUMBERED.sub("", line).strip())}:
                         if key and bits[_bucket(key)]:
                             want.add(("l", key, ""))
         rows = [(p, *w) for p, ws in asked.items() for w in ws]
