@@ -163,21 +163,29 @@ def sizing(unit: DataFrame, target: float, unit_width: float) -> DataFrame:
     return unit.select("series_id", "at", F.round(m, 6).alias("multiplicity"), F.round(m * unit_width, 6).alias("total_width"))
 
 
-FORMULAS = {
-    "gbw": (lambda: F.col("gm") / (2 * math.pi * F.col("c")), 0.25),
-    "gain_db": (lambda: 20 * F.log10(F.col("gm") / (F.col("gds_n") + F.col("gds_p"))), 0.1),
-}
+def gain_bandwidth(gm: str = "gm", c: str = "c") -> Column:
+    """Transconductance over the capacitor that sets the pole."""
+    return F.col(gm) / (2 * math.pi * F.col(c))
 
 
-def envelope(measured: DataFrame) -> DataFrame:
-    """(id, metric, predicted, ratio, status): a closed form from operating quantities against the measured value.
+def gain_db(gm: str = "gm", loads: tuple[str, ...] = ("gds_n", "gds_p")) -> Column:
+    """Transconductance over the sum of the output conductances, in dB."""
+    total = F.col(loads[0])
+    for c in loads[1:]:
+        total = total + F.col(c)
+    return 20 * F.log10(F.col(gm) / total)
 
-    The ratio is linear, or 10^(difference/20) for metrics in dB; within the formula's band
-    it concurs, else it violates; a metric without a formula is NA. A zero prediction or an
+
+def envelope(measured: DataFrame, models: dict[tuple[str, str], tuple[Column, float]]) -> DataFrame:
+    """(id, topology_class, metric, predicted, ratio, status): a closed form from operating quantities against the measured value.
+
+    models: (class, metric) -> (formula, band). The ratio is linear, or 10^(difference/20) for metrics in dB; within the formula's band
+    it concurs, else it violates; a class and metric without a formula is NA. A zero prediction or an
     overflow is an infinite ratio."""
     pred, band = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for m, (f, b) in FORMULAS.items():
-        pred, band = F.when(F.col("metric") == m, f()).otherwise(pred), F.when(F.col("metric") == m, F.lit(b)).otherwise(band)
+    for (cls, m), (f, b) in models.items():
+        own = (F.col("topology_class") == cls) & (F.col("metric") == m)
+        pred, band = F.when(own, f).otherwise(pred), F.when(own, F.lit(b)).otherwise(band)
     db = F.col("metric").endswith("_db")
     ratio = F.when(F.col("p").isNull(), None).when(F.col("p") == 0, float("inf")).when(db, F.pow(F.lit(10.0), (F.col("measured") - F.col("p")) / 20)).otherwise(F.col("measured") / F.nullif("p", F.lit(0.0)))
     out = measured.withColumn("p", pred).withColumn("band", band).withColumn("ratio", ratio)
@@ -185,6 +193,18 @@ def envelope(measured: DataFrame) -> DataFrame:
     return out.select("id", "metric", F.round("p", 6).alias("predicted"), F.round("ratio", 6).alias("ratio"), status.alias("status"))
 
 
+def input_pair(bias: DataFrame, gm_id: float) -> DataFrame:
+    """(id, id1_ua, m, gm1_us, gbw_mhz) of bias(id, iref, w5, w8, cc, unit_current), values with SI suffixes: half the mirrored tail current through
+    each input device, so many (not rounded) unit devices of ``unit_current`` at the target gm/ID, the transconductance and gain-bandwidth that predicts."""
+    from lodeweave.operators.text import si_number
+
+    n = {c: si_number(F.col(c)) for c in ("iref", "w5", "w8", "cc")}
+    id1 = n["iref"] * (n["w5"] / F.nullif(n["w8"], F.lit(0.0))) / 2
+    b = bias.select("id", id1.alias("i"), n["cc"].alias("c"), "unit_current")
+    gm = gm_id * F.col("i")
+    return b.select("id", F.round(F.col("i") * 1e6, 6).alias("id1_ua"), F.round(F.col("i") / F.nullif("unit_current", F.lit(0.0)), 6).alias("m"), F.round(gm * 1e6, 6).alias("gm1_us"), F.round(gm / (2 * math.pi * F.nullif("c", F.lit(0.0))) / 1e6, 4).alias("gbw_mhz"))
+
+
 def nominal(series: DataFrame, x0: float) -> DataFrame:
     """(series_id, y): the value at the point nearest to x0, which must match within 1e-6 of it."""
     g = points(series).groupBy("series_id").agg(F.min(F.struct(F.abs(F.col("x") - x0).alias("d"), "x", "y")).alias("m"))

@@ -286,12 +286,20 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("#", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
-def query_terms(c: Column) -> Column:
-    """Search terms: a short query whole; else word pairs, then words of two letters, each once; else its first 40 characters."""
+def query_terms(c: Column, abbreviations: dict[str, str] | None = None, translations: dict[str, str] | None = None) -> Column:
+    """Search terms: a short query whole; else word pairs, translations of the phrases it holds, then words of two letters,
+    each followed by what it abbreviates, each once; else its first 40 characters. Both tables are inputs."""
     q = F.trim(F.coalesce(c, F.lit("")))
-    ws = F.regexp_extract_all(q, F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0))
+    ws = F.filter(F.transform(F.regexp_extract_all(q, F.lit(r"[A-Za-z][A-Za-z0-9.\-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")), lambda w: F.length(w) >= 2)
     pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.when(F.lower(F.get(ws, i)) != F.lower(F.get(ws, i + 1)), F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)))), lambda x: x.isNotNull())
-    every = F.array_distinct(F.concat(F.when(F.size(ws) > 1, pairs).otherwise(F.array().cast("array<string>")), ws))
+    none = F.array().cast("array<string>")
+    other = F.filter(F.array(*(F.when(q.contains(k), v) for k, v in translations.items())), lambda x: x.isNotNull()) if translations else none
+    if abbreviations:
+        full = F.create_map(*(F.lit(x) for kv in abbreviations.items() for x in kv))
+        ws2 = F.flatten(F.transform(ws, lambda w: F.filter(F.array(w, full[F.lower(w)]), lambda x: x.isNotNull())))
+    else:
+        ws2 = ws
+    every = F.array_distinct(F.concat(F.when(F.size(ws) > 1, pairs).otherwise(none), other, ws2))
     return F.when(F.length(q) <= 40, F.array(q)).when(F.size(every) > 0, every).otherwise(F.array(F.substring(q, 1, 40)))
 
 
@@ -357,3 +365,70 @@ def leading_text(rows: DataFrame, key: str, order: list[Column], line: Column, l
 def context_text(rows: DataFrame, key: str, order: str, line: Column, budget: int) -> DataFrame:
     """(key, text): a key's lines in order, cut at four characters a token with a marker."""
     return leading_text(rows, key, [F.col(order)], line, 4 * budget, " [...]")
+
+
+def content_blocks(items: DataFrame, schema: str | None = None) -> DataFrame:
+    """(doc_id, pos, type, text, html, caption, footnote, img_path, page, level, language) of items(doc_id, pos, item), item the JSON of a parsed page element.
+
+    Text, equation, table, code and image elements; others are dropped, as is what is no JSON. An image keeps its place among the blocks; captions given as lists are joined."""
+    kind = schema or "type string, text string, page_idx int, text_level int, table_body string, table_caption array<string>, code_body string, code_caption array<string>, guess_lang string, image_caption array<string>, image_footnote array<string>, img_path string"
+    p = items.select("doc_id", "pos", F.when(F.try_parse_json("item").isNotNull(), F.from_json("item", kind)).alias("i")).filter("i is not null").select("doc_id", "pos", "i.*").withColumn("type", F.coalesce("type", F.lit("text")))
+    joined = lambda c: F.trim(F.array_join(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()), " "))
+    is_ = lambda t: F.col("type") == t
+    caption = F.when(is_("table"), joined("table_caption")).when(is_("code"), joined("code_caption")).when(is_("image"), joined("image_caption")).otherwise("")
+    text = F.when(is_("code"), F.coalesce("code_body", F.lit(""))).when(is_("text") | is_("equation"), F.coalesce("text", F.lit(""))).otherwise("")
+    return p.filter(F.col("type").isin("text", "equation", "table", "code", "image")).select(
+        "doc_id", "pos", "type", text.alias("text"), F.when(is_("table"), F.coalesce("table_body", F.lit(""))).otherwise("").alias("html"), caption.alias("caption"), F.when(is_("image"), joined("image_footnote")).otherwise("").alias("footnote"),
+        F.coalesce("img_path", F.lit("")).alias("img_path"), F.coalesce("page_idx", F.lit(0)).alias("page"), F.when(is_("text"), F.coalesce("text_level", F.lit(0))).otherwise(0).alias("level"), F.when(is_("code"), F.coalesce("guess_lang", F.lit(""))).otherwise("").alias("language"),
+    )
+
+
+def document_pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, total_pages, n_blocks, n_figures) of content blocks."""
+    return blocks.groupBy("doc_id").agg((F.max("page") + 1).alias("total_pages"), F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("type") == "image").alias("n_figures"))
+
+
+FIGURE_OPEN, FIGURE_CLOSE = "<<figure>>", "<</figure>>"  # a described figure is no evidence for what is drawn from it
+
+
+def section_texts(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """(doc_id, section, title, first_page, last_page, text): blocks as Markdown by section, a text block with a level opening one.
+
+    figures(doc_id, page, kind, caption, footnote, description) come at the end of the first section that covers their
+    page, each once, the description between marks."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens = (F.col("type") == "text") & (F.col("level") > 0)
+    b = blocks.withColumn("section", F.sum(opens.cast("int")).over(w))
+    heads = b.groupBy("doc_id", "section").agg(F.max(F.when(opens, F.col("text"))).alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    body = markdown(b.select(F.struct("doc_id", "section").alias("doc_id"), "pos", "type", F.when(F.col("type") == "image", F.col("caption")).when(F.col("type") == "table", F.col("html")).otherwise(F.col("text")).alias("text"), "level"))
+    s = heads.join(body.select("doc_id.doc_id", "doc_id.section", "text"), ["doc_id", "section"])
+    if figures is not None:
+        head = F.concat(F.lit("[Figure ("), "kind", F.lit(")"), F.when(F.coalesce(F.trim("caption"), F.lit("")) != "", F.concat(F.lit(": "), "caption")).otherwise(""), F.lit("]"))
+        note = F.when(F.coalesce(F.trim("footnote"), F.lit("")) != "", F.concat(F.lit("\n[Figure note: "), "footnote", F.lit("]"))).otherwise("")
+        f = figures.select("doc_id", F.col("page").alias("p"), F.concat(head, note, F.lit("\n" + FIGURE_OPEN), F.coalesce("description", F.lit("")), F.lit(FIGURE_CLOSE)).alias("fig"))
+        covers = f.join(heads.select("doc_id", "section", "first_page", "last_page"), "doc_id").filter("p between first_page and last_page")
+        place = covers.groupBy("doc_id", "p", "fig").agg(F.min("section").alias("section"))
+        g = place.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "fig"))), lambda x: x["fig"]), "\n\n").alias("figs"))
+        s = s.join(g, ["doc_id", "section"], "left").withColumn("text", F.concat_ws("\n\n", "text", "figs")).drop("figs")
+    return s.select("doc_id", "section", F.coalesce("title", F.lit("Untitled")).alias("title"), "first_page", "last_page", "text")
+
+
+def structured_chunks(sections_: DataFrame, max_tokens: int = 1500, overlap_tokens: int = 100, per_token: int = 4) -> DataFrame:
+    """(doc_id, section, title, pages, part, text, token_estimate): a section whole where it fits, else packed by paragraphs; blank sections are none."""
+    s = sections_.filter("trim(text) <> ''")
+    limit = max_tokens * per_token
+    parts = F.when(F.length("text") <= limit, F.array(F.trim("text"))).otherwise(packed(F.col("text"), limit, overlap_tokens * per_token, "\n\n"))
+    pages = F.when(F.col("first_page") == F.col("last_page"), F.col("first_page").cast("string")).otherwise(F.concat_ws("-", "first_page", "last_page"))
+    x = s.select("doc_id", "section", "title", pages.alias("pages"), F.posexplode(parts).alias("part", "text"))
+    return x.select("doc_id", "section", "title", "pages", "part", F.trim("text").alias("text"), F.floor(F.length("text") / per_token).cast("int").alias("token_estimate"))
+
+
+def page_chunks(pages: DataFrame, max_tokens: int = 1500, overlap_tokens: int = 100) -> DataFrame:
+    """Chunks of pages(doc_id, page, text): a line that is a heading opens a section; a document without headings has a section per page."""
+    l = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("k", "line"))
+    l = l.withColumn("h", heading_kind(F.col("line")).isNotNull()).withColumn("pos", F.struct("page", "k"))
+    w = Window.partitionBy("doc_id").orderBy("page", "k").rowsBetween(Window.unboundedPreceding, 0)
+    with_any = l.groupBy("doc_id").agg(F.bool_or("h").alias("any"))
+    s = l.join(with_any, "doc_id").withColumn("section", F.when(F.col("any"), F.sum(F.col("h").cast("int")).over(w)).otherwise(F.col("page")).cast("int"))
+    g = s.groupBy("doc_id", "section").agg(F.max(F.when(F.col("h"), F.trim("line"))).alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return structured_chunks(g.withColumn("title", F.coalesce("title", F.lit("Untitled"))), max_tokens, overlap_tokens)

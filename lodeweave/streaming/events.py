@@ -67,3 +67,37 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", key: str
         rest = [c for c in out.columns if c not in (key, "batch")]
         out = out.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
     return out.drop("batch")
+
+
+def ingest(stream: DataFrame, root: str, work, key: str, run: str = "run") -> None:
+    """Process what is there, each key once over all runs: a batch leaves out the keys that an earlier run finished, writes its
+    results with their status, and the stream's state tells which files are done, so a run that died goes on where it was.
+
+    work: DataFrame -> DataFrame with ``key`` and status ('done', or anything else to be tried again by a new run). How much is
+    worked on at once is bounded by the source's maxFilesPerTrigger and the session's cores; each batch has its own folder and replaces itself."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, n: int) -> None:
+        have = _results(spark, root)
+        here = f"{run}-{n}"
+        if have is not None:
+            batch = batch.join(have.filter((F.col("status") == "done") & (F.col("batch") != here)).select(key), key, "left_anti")
+        work(batch).write.mode("overwrite").parquet(f"{root}/results/batch={here}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state-{run}").trigger(availableNow=True).start().awaitTermination()
+
+
+def _results(spark, root: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/results")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    return spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results")
+
+
+def ingested(spark, root: str, key: str) -> DataFrame:
+    """The result of each key: that of its done row, else of its latest try."""
+    have = _results(spark, root)
+    rest = [c for c in have.columns if c not in (key, "batch")]
+    best = F.struct((F.col("status") == "done").alias("ok"), "batch")
+    return have.groupBy(key).agg(F.max_by(F.struct(*rest), best).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
