@@ -80,7 +80,7 @@ def line_key(line: str) -> str | None:
 
 
 def _keyed(words: list[str]) -> str:
-    return _LINE + " ".join("#" if len(w) == 1 or w.isdigit() else shape(w) for w in words)
+    return _LINE + " ".join(["#" if len(w) == 1 or w.isdigit() else shape(w) for w in words])
 
 
 def grams(text: str) -> list[str]:
@@ -422,12 +422,17 @@ def _doubt_rows(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), cands, pa.array([_bucket(r[0]) for r in rows], pa.int32())], names=["word", "own", "cands", "bucket"])
 
 
+def _lead(key: str) -> str:
+    """The key of all lines that begin like this one."""
+    return key.split(" ", 1)[0] + _LINE
+
+
 def _line_pairs(batches):
     """The pairs of words of each line key; and, of pairs, their key by strokes."""
     for batch in batches:
-        rows = [(g, _LINE + f"{a} {b}", _bucket(g)) for g in batch.column("gram").to_pylist() for a, b in zip(g[1:].split(" "), g[1:].split(" ")[1:])]
-        cols = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["line", "pair", "bucket"])
+        rows = [(g, _LINE + f"{a} {b}", _bucket(g), _bucket(_lead(g))) for g in batch.column("gram").to_pylist() for a, b in zip(g[1:].split(" "), g[1:].split(" ")[1:])]
+        cols = list(zip(*rows)) if rows else [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["line", "pair", "bucket", "lead"])
 
 
 def _pair_keys(batches):
@@ -481,10 +486,12 @@ def _asked(batches, held):
                             if may(whole):
                                 want.add(("p", ws[-2] if len(ws) > 1 else whole, whole))
                                 want.add(("p", whole, words[k][1] if len(words[k]) > 1 else whole))
-                if len(lines) > 1:
-                    for key in {line_key(line), line_key(_NUMBERED.sub("", line).strip())}:
-                        if key and bits[_bucket(key)]:
-                            want.add(("l", key, ""))
+                if len(lines) > 1 and ws:
+                    for part_of in (ws, ws[1:] if ws[0] == "#" else ws[:-1] if ws[-1] == "#" else ()):  # with its page number and without
+                        if len(part_of) > 1 and may(_LINE + ("#" if len(part_of[0]) == 1 else shape(part_of[0])) + _LINE):
+                            key = _keyed(part_of)
+                            if bits[_bucket(key)]:
+                                want.add(("l", key, ""))
         rows = [(p, *w) for p, ws in asked.items() for w in ws]
         cols = list(zip(*rows)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["part", "kind", "a", "b"])
@@ -544,9 +551,9 @@ def repaired(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     doubt = cut(classes.mapInArrow(lambda it: _doubtful(it, p), "word string, own double, cands array<struct<c:string,q:double>>, bucket int"))
     lines = counts.filter(is_line & (F.col("n") >= RUNS))
     pairs = counts.filter(~is_line & is_pair).mapInArrow(_pair_keys, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("m"))
-    rarest = lines.select("gram").mapInArrow(_line_pairs, "line string, pair string, bucket int").join(pairs, "pair", "left").groupBy("line", "bucket").agg(F.min(F.coalesce("m", F.lit(0))).alias("m"))
-    running = cut(rarest.join(lines.select(F.col("gram").alias("line"), "n"), "line").filter(F.col("n") >= ALONE * F.col("m")).select("line", "bucket"))
-    at = doubt.select("bucket").unionByName(running.select("bucket")).distinct().toArrow()["bucket"].to_numpy()  # at most BUCKETS numbers
+    rarest = lines.select("gram").mapInArrow(_line_pairs, "line string, pair string, bucket int, lead int").join(pairs, "pair", "left").groupBy("line", "bucket", "lead").agg(F.min(F.coalesce("m", F.lit(0))).alias("m"))
+    running = cut(rarest.join(lines.select(F.col("gram").alias("line"), "n"), "line").filter(F.col("n") >= ALONE * F.col("m")).select("line", "bucket", "lead"))
+    at = doubt.select("bucket").unionByName(running.select(F.explode(F.array("bucket", "lead")).alias("bucket"))).distinct().toArrow()["bucket"].to_numpy()  # at most BUCKETS numbers
     bits = np.zeros(BUCKETS, dtype=bool)
     bits[at] = True
     held = spark.sparkContext.broadcast(bits)
@@ -569,7 +576,7 @@ def repaired(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     empty = [F.lit(None).cast("string").alias(c) for c in columns]
     facts = known.unionByName(doubted).unionByName(runs).unionByName(titled).select("part", F.lit(0).alias("role"), "kind", "key", "n", "own", "cands", *empty)
     body = rows.select("part", F.lit(1).alias("role"), none.cast("string").alias("kind"), none.cast("string").alias("key"), none.cast("bigint").alias("n"), none.cast("double").alias("own"), none.cast("array<struct<c:string,q:double>>").alias("cands"), *columns)
-    met = facts.unionByName(body).repartition(width, "part").sortWithinPartitions("part", "role", *columns)
+    met = facts.unionByName(body).repartitionById(width, F.col("part")).sortWithinPartitions("part", "role", *columns)
     return met.mapInArrow(lambda it: _repaired(it, total), "chunk_id string, source_id string, repaired string, kinds array<string>")
 
 
