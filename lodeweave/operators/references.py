@@ -96,3 +96,27 @@ def orphan_report(insights: DataFrame, links: DataFrame, chunks: DataFrame, topo
     lost = orphan_evidence(insights, links, chunks, topologies, parameters).groupBy("ref_table", "ref_period").agg(F.count(F.lit(1)).alias("n_orphans"))
     on = refs["ref_table"].eqNullSafe(lost["ref_table"]) & refs["ref_period"].eqNullSafe(lost["ref_period"])
     return refs.join(lost, on, "left").select(refs["ref_table"], refs["ref_period"], "n_references", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
+
+
+def composite_references(insights: DataFrame, links: DataFrame) -> DataFrame:
+    """(ref_table, record_id, target_kind, ref_key, source_id) of the two tables, distinct, with whatever is null or blank as null.
+
+    An insight refers to a chunk of a source, a link to a name of a kind; a link names no source."""
+    blank = lambda c: F.when(c != "", c)
+    c = insights.select(F.lit("insight_nodes").alias("ref_table"), F.col("insight_id").alias("record_id"), F.lit("chunk").alias("target_kind"), F.explode("evidence_chunk_ids").alias("raw"), F.col("source_id"))
+    c = c.withColumn("ref_key", blank(_strip(F.lower("raw")))).withColumn("source_id", blank(F.trim("source_id")))
+    n = links.select(F.lit("link_requests").alias("ref_table"), F.col("link_id").alias("record_id"), blank(F.trim("target_label")).alias("target_kind"), blank(name_key(F.col("match_text"))).alias("ref_key"), F.lit(None).cast("string").alias("source_id"))
+    return c.drop("raw").unionByName(n).distinct()
+
+
+def composite_targets(chunks: DataFrame, topologies: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(target_kind, ref_key, source_id): chunks with their sources, names of topologies and parameters without."""
+    c = chunks.select(F.lit("chunk").alias("target_kind"), _strip(F.lower("chunk_id")).alias("ref_key"), F.when(F.trim("source_id") != "", F.trim("source_id")).alias("source_id"))
+    t = topologies.select(F.lit("CircuitTopology").alias("target_kind"), name_key(F.col("name")).alias("ref_key"))
+    p = parameters.select(F.lit("Parameter").alias("target_kind"), F.explode(F.array("name", "symbol")).alias("raw")).select("target_kind", name_key(F.col("raw")).alias("ref_key"))
+    return c.unionByName(t.unionByName(p).withColumn("source_id", F.lit(None).cast("string")))
+
+
+def composite_orphans(insights: DataFrame, links: DataFrame, chunks: DataFrame, topologies: DataFrame, parameters: DataFrame, match: str) -> DataFrame:
+    """(ref_table, record_id, target_kind, ref_key, source_id): references over three columns, any of them null, that ``match`` leaves dangling."""
+    return orphan_references(composite_references(insights, links), composite_targets(chunks, topologies, parameters), ["target_kind", "ref_key", "source_id"], match, spread="record_id")
