@@ -52,15 +52,15 @@ target as (
 t1 as (select distinct k, r, s from target),
 hit as (select distinct r.* from refs r join t1 t on t.r = r.ref_key where (r.target_kind is null or t.k = r.target_kind) and (r.source_id is null or t.s = r.source_id)
   union select r.* from refs r where ref_key is null and exists (select 1 from (select distinct k, s from t1) t where (r.target_kind is null or t.k = r.target_kind) and (r.source_id is null or t.s = r.source_id))),
-some as (select * from refs where target_kind is not null or ref_key is not null or source_id is not null)
+asked as (select * from refs where target_kind is not null or ref_key is not null or source_id is not null)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """The same in DuckDB's SQL."""
     return {
-        "p3_partial": _COMPOSITE + "select * from some except select * from hit",
-        "p3_full": _COMPOSITE + "select * from some where target_kind is null or ref_key is null or source_id is null union (select * from some where target_kind is not null and ref_key is not null and source_id is not null except select * from hit)",
+        "p3_partial": _COMPOSITE + "select * from asked except select * from hit",
+        "p3_full": _COMPOSITE + "select * from asked where target_kind is null or ref_key is null or source_id is null union (select * from asked where target_kind is not null and ref_key is not null and source_id is not null except select * from hit)",
         "p3_found": _FOUND + "select distinct ref_table, record_id, ref_key, strftime(seen, '%Y-%m') ref_period from lost",
         "p3_report": _FOUND + """, a as (select ref_table, ref_period, count(*) n_references from (select distinct ref_table, record_id, ref_key, strftime(seen, '%Y-%m') ref_period from good) group by 1, 2),
 b as (select ref_table, ref_period, count(*) n_orphans from (select distinct ref_table, record_id, ref_key, strftime(seen, '%Y-%m') ref_period from lost) group by 1, 2)
