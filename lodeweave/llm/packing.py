@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,55 +11,90 @@ from pyspark.sql import functions as F
 from lodeweave.llm.tokens import RANKS, token_count
 from lodeweave.session import cut
 
-BUCKETS = 256
-
-
-def plan(capacity: int, counts: dict[int, int]) -> tuple[list[tuple], list[tuple], int]:
-    """Best-fit in rounds over run-length classes: counts has the number of pieces of each size.
-
-    Round by round the largest remaining size is swept against the ascending gap classes:
-    each piece goes to the smallest gap that holds it, pieces and gaps of one class meet by
-    rank, the gaps left over form new classes for the next round. All pieces of a size and
-    all containers of a gap are alike, so a class moves in one step, and the work depends on
-    the capacity, not on the number of documents. Returns placements (size, first rank, end
-    rank, first container, pieces per container), runs (first container, end, unused) and
-    the number of containers.
-    """
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> [(first container, how many)]
-    placed, total = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if n:
-            if gap not in runs:
-                insort(gaps, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for size in sorted((s for s in counts if s > 0), reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            at = bisect_left(gaps, size)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:
-                gap, first, n = capacity, total, -(-left // (capacity // size))
-                total += n
-            each = gap // size
-            full = min(n, left // each)
+BUCKETS = 256  # hash ranges that ranks are cut into
+RANGES = 8  # ranges of sizes and gaps that are swept side by side
+
+_EVENT = "pack_name string, capacity long, kind string, value long, n long, done long"
+_ALLOC = "pack_name string, capacity long, kind string, value long, n long, done long, size long, each long, rank long"
+
+
+def sweep(events: list[tuple[str, int, int, int]]) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[str, int, int, int]]]:
+    """One successor sweep over classes (kind 'gap' or 'item', value, n, done): from the largest value down, gaps before items of their size.
+
+    Each class of items goes into the smallest gap met so far, as many to a gap as it holds, larger items first: a conflict is
+    settled by rank. A gap is used for one class of items in a sweep. Returns allocations
+    (gap, first gap used, gaps, size, items per gap, first item) and the classes left over, with how many of each are done."""
+    stack: list[list[int]] = []
+    placed, left = [], []
+    for kind, value, n, done in sorted(events, key=lambda e: (-e[1], e[0] != "gap")):
+        if kind == "gap":
+            if n > done:
+                stack.append([value, n, done])
+            continue
+        while n > done and stack:
+            gap, many, used = stack[-1]
+            each = gap // value
+            full = min((n - done) // each, many - used)
             if full:
-                placed.append((size, rank, rank + full * each, first, each))
-                add(gap - each * size, first, full)
-                rank, left = rank + full * each, left - full * each
-            if full < n and left:
-                placed.append((size, rank, rank + left, first + full, left))
-                add(gap - left * size, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            add(gap, first + full, n - full)
-    ends = sorted((first, first + n, gap) for gap, rs in runs.items() for first, n in rs)
-    return placed, ends, total
+                placed.append((gap, used, full, value, each, done))
+                used, done = used + full, done + full * each
+            if n > done and used < many:  # the last ones do not fill a gap
+                placed.append((gap, used, 1, value, n - done, done))
+                used, done = used + 1, n
+            stack[-1][2] = used
+            if used == many:
+                left.append(("gap", *stack.pop()))
+        left.append(("item", value, n, done))
+    return placed, left + [("gap", *g) for g in stack]
+
+
+def _swept(pdf: pd.DataFrame) -> pd.DataFrame:
+    name, capacity = pdf["pack_name"].iloc[0], int(pdf["capacity"].iloc[0])
+    placed, left = sweep([(k, int(v), int(n), int(d)) for k, v, n, d in zip(pdf["kind"], pdf["value"], pdf["n"], pdf["done"])])
+    rows = [(name, capacity, "put", g, u, k, s, e, r) for g, u, k, s, e, r in placed]
+    rows += [(name, capacity, k, v, n, d, 0, 0, 0) for k, v, n, d in left]
+    return pd.DataFrame(rows, columns=["pack_name", "capacity", "kind", "value", "n", "done", "size", "each", "rank"])
+
+
+def placements(classes: DataFrame, max_rounds: int = 400) -> DataFrame:
+    """(pack_name, size, rank, until, container, each): where the pieces of each size go, from classes(pack_name, capacity, size, n).
+
+    Bulk-synchronous best fit. Pieces of one size are alike and so are containers with one gap, so both are classes, at most the
+    capacity of each whatever the number of documents, and the containers of a gap are runs of numbers, rows of a
+    table. A round sorts both by range of value; every range is swept on its own, what it leaves over is swept again over all
+    ranges, and the gaps used take their new value. Pieces larger than every gap left open the containers they need in any packing.
+    Rounds repeat until no piece is left: about as many as a container holds different sizes. Tables are cut in the shared folder each round."""
+    key = ["pack_name", "capacity"]
+    items = cut(classes.filter("size > 0").select(*key, F.lit("item").alias("kind"), F.col("size").cast("long").alias("value"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("done")))
+    runs = items.limit(0).select(*key, F.col("value").alias("gap"), F.col("n").alias("first"), F.col("n").alias("many"))
+    opened = cut(items.select(*key).distinct().withColumn("opened", F.lit(0).cast("long")))
+    out, swept = [], items
+    for _ in range(max_rounds):
+        rest = swept.filter("kind = 'item' and n > done")
+        # Containers that what fits no gap needs in any packing: by its size, or one for each piece of more than half of it.
+        top = runs.groupBy(*key).agg(F.max("gap").alias("top"))
+        high = rest.join(top, key, "left").filter("value > coalesce(top, 0)").groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.col("value") * (F.col("n") - F.col("done"))) / F.first("capacity")), F.sum(F.when(2 * F.col("value") > F.col("capacity"), F.col("n") - F.col("done")).otherwise(0))).cast("long").alias("need"))
+        grown = opened.join(high, key, "left").withColumn("need", F.coalesce("need", F.lit(0)))
+        fresh = grown.filter("need > 0").select(*key, F.col("capacity").cast("long").alias("gap"), F.col("opened").alias("first"), F.col("need").alias("many"))
+        runs, opened = cut(runs.unionByName(fresh)), cut(grown.select(*key, (F.col("opened") + F.col("need")).alias("opened")))
+        gaps = runs.groupBy(*key, "gap").agg(F.sum("many").alias("n")).select(*key, F.lit("gap").alias("kind"), F.col("gap").alias("value"), "n", F.lit(0).cast("long").alias("done"))
+        events = gaps.unionByName(rest.select(*gaps.columns)).withColumn("part", F.floor(F.col("value") * RANGES / (F.col("capacity") + 1)).cast("int"))
+        local = cut(events.groupBy(*key, "part").applyInPandas(_swept, _ALLOC))
+        again = local.filter("kind <> 'put'").select(*gaps.columns).groupBy(*key).applyInPandas(_swept, _ALLOC)
+        swept = cut(local.filter("kind = 'put'").unionByName(again))
+        # Which containers the allocated gaps are: unit numbers of a gap's class against its runs.
+        order = Window.partitionBy(*key, "gap").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+        at = runs.withColumn("off", F.coalesce(F.sum("many").over(order), F.lit(0)))
+        used = swept.filter("kind = 'put'").select(*key, F.col("value").alias("gap"), F.col("n").alias("u"), F.col("done").alias("k"), "size", "each", "rank")
+        kept = swept.filter("kind = 'gap' and n > done").select(*key, F.col("value").alias("gap"), F.col("done").alias("u"), (F.col("n") - F.col("done")).alias("k"), "size", "each", "rank")
+        both = used.unionByName(kept).join(at, [*key, "gap"]).filter("u < off + many and off < u + k")
+        lo, hi = F.greatest("u", "off"), F.least(F.col("u") + F.col("k"), F.col("off") + F.col("many"))
+        parts = cut(both.select(*key, "size", "each", (F.col("rank") + (lo - F.col("u")) * F.col("each")).alias("rank"), (F.col("first") + lo - F.col("off")).alias("container"), (hi - lo).alias("many"), (F.col("gap") - F.col("each") * F.col("size")).alias("gap")))
+        out.append(parts.filter("each > 0").select("pack_name", "size", "rank", (F.col("rank") + F.col("many") * F.col("each")).alias("until"), "container", "each"))
+        runs = parts.filter("gap > 0").select(*key, "gap", F.col("container").alias("first"), "many")
+        if not swept.filter("kind = 'item' and n > done").limit(1).count():
+            return reduce(DataFrame.unionByName, out)
+    raise RuntimeError("packing did not end")
 
 
 def pieces(documents: DataFrame, capacities: DataFrame, path: str = RANKS) -> DataFrame:
@@ -77,50 +111,30 @@ def pieces(documents: DataFrame, capacities: DataFrame, path: str = RANKS) -> Da
 def pack(documents: DataFrame, capacities: DataFrame, path: str = RANKS) -> DataFrame:
     """(pack_name, doc_id, piece, piece_tokens, container, unused_tokens): the container of every piece.
 
-    Range-sorting documents by size turns them into classes (size, count), at most one per
-    token of capacity whatever the number of documents; only these classes are planned by
-    ``plan``. Each piece then learns its rank within its size from prefix sums over
-    (size, hash range), so a size that a third of all documents share is ranked by many
-    tasks, and looks its container up by binary search in the plan, whose length is bounded
-    by the capacity too. unused_tokens is the space its container leaves free. Texts that are
-    null or empty take no space and go to container 0; an empty table gives no rows.
+    Pieces are counted by size (at most one class per token of capacity, counted map-side), the classes are placed by
+    ``placements`` in rounds of distributed sweeps, and each piece finds its place by its rank within its size. Ranks come from prefix
+    sums over (size, hash range), so a size that a third of all documents share is ranked by many
+    tasks; placements are first cut at the same ranges, so a piece meets those of its range only. unused_tokens is the
+    space its container leaves free. Texts that are null or empty take no space and go to container 0; an empty table gives no rows.
     """
-    spark = documents.sparkSession
     items = pieces(documents, capacities, path).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    per = items.groupBy("pack_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    classes = per.groupBy("pack_name", "capacity", "size").agg(F.sum("n").alias("n")).collect()  # at most the capacity per kind of container
-    plans = {}
-    for name, capacity in {(r.pack_name, r.capacity) for r in classes}:
-        placed, runs, _ = plan(capacity, {r["size"]: r.n for r in classes if r.pack_name == name})
-        groups: dict[int, list] = {}
-        for p in placed:
-            groups.setdefault(p[0], []).append(p[1:])
-        by_size = {s: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(rows))) for s, rows in groups.items()}
-        plans[name] = by_size, tuple(np.array(x, dtype=np.int64) for x in zip(*runs)) if runs else ()
-    held = spark.sparkContext.broadcast(plans)
-
-    @F.pandas_udf("container long, unused long")
-    def locate(pack_name: pd.Series, size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        container, unused = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
-        key = pd.DataFrame({"p": pack_name.to_numpy(), "s": size.to_numpy()})
-        ranks = rank.to_numpy(dtype=np.int64)
-        for (p, s), at in key.groupby(["p", "s"], sort=False).indices.items():
-            if s > 0:
-                lo, _, first, each = held.value[p][0][s]
-                i = np.searchsorted(lo, ranks[at], side="right") - 1
-                container[at] = first[i] + (ranks[at] - lo[i]) // each[i]
-        for p, at in key.groupby("p", sort=False).indices.items():
-            if held.value[p][1]:
-                begin, _, gap = held.value[p][1]
-                unused[at] = gap[np.searchsorted(begin, container[at], side="right") - 1]
-        return pd.DataFrame({"container": container, "unused": unused})
-
+    per = cut(items.groupBy("pack_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    placed = placements(per.groupBy("pack_name", "capacity", "size").agg(F.sum("n").alias("n"))) if not per.filter("size > 0").isEmpty() else None
     earlier = Window.partitionBy("pack_name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("pack_name", "size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
+    offsets = per.select("pack_name", "size", "bucket", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
     inside = Window.partitionBy("pack_name", "size", "bucket").orderBy("doc_id", "piece")
-    ranked = items.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["pack_name", "size", "bucket"])
-    put = ranked.withColumn("at", locate("pack_name", "size", (F.col("off") + F.col("r")).cast("long")))
-    return put.select("pack_name", "doc_id", "piece", F.col("size").alias("piece_tokens"), F.col("at.container").alias("container"), F.col("at.unused").alias("unused_tokens"))
+    empty = items.filter("size = 0").select("pack_name", "doc_id", "piece", F.col("size").alias("piece_tokens"), F.lit(0).cast("long").alias("container"))
+    if placed is None:
+        packs = capacities.select("pack_name", F.col("capacity_tokens").cast("long").alias("unused_tokens")).distinct()
+        return empty.join(F.broadcast(packs), "pack_name")
+    # Classes and ranges only: each range's ranks against the placements of its size.
+    where = offsets.join(placed, ["pack_name", "size"]).filter("rank < off + n and off < until").select("pack_name", "size", "bucket", "off", "rank", "until", "container", "each")
+    ranked = items.filter("size > 0").withColumn("r", F.row_number().over(inside) - 1)
+    met = ranked.join(where, ["pack_name", "size", "bucket"]).withColumn("at", F.col("off") + F.col("r")).filter("at >= rank and at < until")
+    put = met.select("pack_name", "capacity", "doc_id", "piece", F.col("size").alias("piece_tokens"), (F.col("container") + F.floor((F.col("at") - F.col("rank")) / F.col("each"))).cast("long").alias("container"))
+    full = put.groupBy("pack_name", "capacity", "container").agg(F.sum("piece_tokens").alias("used")).select("pack_name", "container", (F.col("capacity") - F.col("used")).cast("long").alias("unused_tokens"))
+    first = F.broadcast(full.filter("container = 0").drop("container"))  # one row a kind of container
+    return put.drop("capacity").join(full, ["pack_name", "container"]).select("pack_name", "doc_id", "piece", "piece_tokens", "container", "unused_tokens").unionByName(empty.join(first, "pack_name").select("pack_name", "doc_id", "piece", "piece_tokens", "container", "unused_tokens"))
 
 
 def pack_summary(documents: DataFrame, capacities: DataFrame, path: str = RANKS) -> DataFrame:

@@ -51,22 +51,55 @@ def test_summary(spark, docs, sizes):
     assert r.used_tokens == sum(sizes.values()) and r.n_containers * 128 == r.used_tokens + r.unused_tokens
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    cap = rng.choice([10, 37, 100])
-    items = sorted((rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 400))), reverse=True)
+def best_fit_decreasing(items, cap):
     gaps = []
-    for s in items:
+    for s in sorted(items, reverse=True):
         fit = [g for g in gaps if g >= s]
         if fit:
             gaps.remove(min(fit))
             gaps.append(min(fit) - s)
         else:
             gaps.append(cap - s)
-    placed, runs, n = P.plan(cap, Counter(items))
-    assert n == len(gaps) and sum(b - a for _, a, b, _, _ in placed) == len(items)
-    assert sorted(g for a, b, g in runs for _ in range(b - a)) == sorted(gaps)
+    return gaps
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sweep_places_each_piece_in_the_smallest_gap_it_meets(seed):
+    """Against a sweep over single gaps and pieces: nothing is used twice, what fits a gap left over is placed."""
+    rng = random.Random(seed)
+    gaps, items = Counter(rng.randrange(1, 60) for _ in range(rng.randrange(0, 40))), Counter(rng.randrange(1, 60) for _ in range(rng.randrange(0, 90)))
+    events = [("gap", v, n, 0) for v, n in gaps.items()] + [("item", v, n, 0) for v, n in items.items()]
+    placed, left = P.sweep(events)
+    units, ranks = Counter(), Counter()
+    for gap, u, k, size, each, rank in placed:
+        assert 0 < each * size <= gap
+        for i in range(k):
+            units[gap, u + i] += 1
+        for i in range(k * each):
+            ranks[size, rank + i] += 1
+    assert set(units.values()) <= {1} and set(ranks.values()) <= {1}
+    assert all(sum(1 for g, _ in units if g == v) + sum(n - d for k, w, n, d in left if k == "gap" and w == v) == n for v, n in gaps.items())
+    assert all(sum(1 for z, _ in ranks if z == v) + sum(n - d for k, w, n, d in left if k == "item" and w == v) == n for v, n in items.items())
+    free = [v for k, v, n, d in left if k == "gap" and n > d]
+    assert all(v > max(free, default=0) for k, v, n, d in left if k == "item" and n > d)
+
+
+@pytest.mark.parametrize("seed, cap", [(1, 100), (2, 37)])
+def test_placements_against_best_fit_decreasing(spark, seed, cap):
+    rng = random.Random(seed)
+    items = [rng.randrange(1, cap + 1) if rng.random() < 0.5 else rng.randrange(1, cap // 4) for _ in range(3000)]
+    rows = [("a", cap, s, n) for s, n in Counter(items).items()] + [("b", 10, 10, 5), ("b", 10, 0, 7)]
+    got = P.placements(spark.createDataFrame(rows, "pack_name string, capacity long, size long, n long")).collect()
+    load, seen = Counter(), Counter()
+    for r in got:
+        for i in range(r.until - r.rank):
+            seen[r.pack_name, r["size"], r.rank + i] += 1
+            load[r.pack_name, r.container + i // r.each] += r["size"]
+    assert set(seen.values()) == {1} and len(seen) == len(items) + 5
+    mine = [v for (p, _), v in load.items() if p == "a"]
+    assert max(mine) <= cap and len(mine) == 1 + max(c for p, c in load if p == "a")
+    assert len(mine) <= len(best_fit_decreasing(items, cap)) * 1.01 + 1
+    assert sorted(v for (p, _), v in load.items() if p == "b") == [10] * 5
 
 
 def test_mixture(spark, docs, sizes):
