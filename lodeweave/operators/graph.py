@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.session import cut
+
 # The labels and relation names below.
 KNOWLEDGE_LABELS = ("Concept", "Equation", "Principle", "CircuitTopology", "Parameter")
 PRIVATE_LABELS = ("Memory", "Session", "SkillRun", "Entity", "Learner", "Assessment")
@@ -116,17 +118,21 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 2, limit: int
     return found.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= limit).drop("__r")
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, min_shared: int = 2, limit: int = 20, label: str = "Concept", shared_by: tuple = SHARED_BY, bridged_by: tuple = BRIDGED_BY) -> DataFrame:
+def bridges(nodes: DataFrame, edges: DataFrame, min_shared: int = 2, limit: int = 20, label: str = "Concept", shared_by: tuple = SHARED_BY, bridged_by: tuple = BRIDGED_BY, block: int = 1000) -> DataFrame:
     """(node_a, node_b, domain_a, domain_b, shared, shared_names): unlinked nodes of different domains that share neighbours.
 
     A shared neighbour's holders meet on its id only; pairs are aggregated map-side to counts
     before anything else is joined, names are looked up for the pairs kept. A null domain never differs.
     """
     own = nodes.filter((F.col("label") == label) & F.col("domain").isNotNull()).select("node_id", "domain")
-    holds = edges.filter(F.col("rel_type").isin(*shared_by)).select("src_id", "dst_id").distinct().join(own, F.col("src_id") == F.col("node_id")).select("dst_id", "src_id", "domain")
-    a = holds.select("dst_id", F.col("src_id").alias("node_a"), F.col("domain").alias("domain_a"))
-    b = holds.select("dst_id", F.col("src_id").alias("node_b"), F.col("domain").alias("domain_b"))
-    pairs = a.join(b, "dst_id").filter("node_a < node_b and domain_a <> domain_b").groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    holds = cut(edges.filter(F.col("rel_type").isin(*shared_by)).select("src_id", "dst_id").distinct().join(own, F.col("src_id") == F.col("node_id")).select("dst_id", "src_id", "domain"))
+    # A neighbour with many holders is split into parts that meet two by two, so no task has the square of a hub.
+    hub = holds.groupBy("dst_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count_distinct("domain").alias("d")).filter("d > 1").drop("d")
+    own_part = holds.join(hub, "dst_id").withColumn("own", F.pmod(F.xxhash64("src_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = own_part.select("dst_id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("src_id").alias("node_a"), F.col("domain").alias("domain_a"))
+    y = x.select("dst_id", "lo", "hi", F.col("own").alias("own_b"), F.col("node_a").alias("node_b"), F.col("domain_a").alias("domain_b"))
+    met = x.join(y, ["dst_id", "lo", "hi"]).filter("node_a < node_b and domain_a <> domain_b and (lo = hi or own <> own_b)")
+    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     linked = edges.filter(F.col("rel_type").isin(*bridged_by)).select(F.least("src_id", "dst_id").alias("node_a"), F.greatest("src_id", "dst_id").alias("node_b")).distinct()
     top = pairs.join(linked, ["node_a", "node_b"], "left_anti").orderBy(F.desc("shared"), "node_a", "node_b").limit(limit)
     top = top.join(own.select(F.col("node_id").alias("node_a"), F.col("domain").alias("domain_a")), "node_a").join(own.select(F.col("node_id").alias("node_b"), F.col("domain").alias("domain_b")), "node_b")

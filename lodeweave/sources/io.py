@@ -36,15 +36,25 @@ def write_export(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("ord").text(path)
 
 
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, line) of a written export; a reader of one kind touches that folder only."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _of_kind(lines: DataFrame, ord_: int) -> DataFrame:
+    """Lines of one kind, where the export tells them apart."""
+    return lines.filter(F.col("ord") == ord_) if "ord" in lines.columns else lines
+
+
 def import_nodes(lines: DataFrame) -> DataFrame:
     """Nodes of export lines; malformed lines and lines without label or id are skipped."""
-    p = lines.select(F.from_json("line", NODE).alias("r")).select("r.*")
+    p = _of_kind(lines, 1).select(F.from_json("line", NODE).alias("r")).select("r.*")
     return p.filter("kind = 'node' and label is not null and node_id is not null").drop("kind")
 
 
 def import_edges(lines: DataFrame) -> DataFrame:
     """Edges of export lines."""
-    p = lines.select(F.from_json("line", EDGE).alias("r")).select("r.*")
+    p = _of_kind(lines, 2).select(F.from_json("line", EDGE).alias("r")).select("r.*")
     return p.filter("kind = 'edge' and src_id is not null and dst_id is not null and rel_type is not null").drop("kind")
 
 
