@@ -45,7 +45,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     budget is its share of that, at most max_repeats times its size. A source is used in whole
     epochs as long as the budget reaches, then documents are taken in the order of a random
     hash until their exact prefix sum would pass the budget; so a source falls short of its
-    budget by less than one document, and no document is used more than max_repeats times.
+    budget by less than one document, and no document is used more than max_repeats times. What a source cannot
+    give for its cap is not made up by the others; mixture_shares reports the shares as they come out.
     Every document is returned; those of unlisted or null sources with 0 uses. Sources are
     compared in normalised spelling; repeated target rows of one source add their shares
     (the highest cap holds); a null or negative share counts 0, a null cap 1.

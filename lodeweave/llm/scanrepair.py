@@ -27,6 +27,7 @@ PRIOR = 0.1  # occurrences a word never seen elsewhere is given
 WEIGHT = 0.6  # of pairs of words against single ones
 UNSEEN = 3.0  # a pair never seen is no likelier than so many in all that follow its first word
 SLACK = 6.0  # how much more often than expected a word may be misread in one way
+DOUBT = 50.0  # a word is doubtful if misreadings explain this share of its occurrences (1 / DOUBT); no context outweighs less
 RUNS = 5  # a line must repeat so often to be a running line
 ALONE = 0.8  # ... and its rarest pair of words must occur in such lines mostly
 
@@ -163,7 +164,7 @@ def doubts(cls: list[tuple[str, int]], p: list[float]) -> Iterator[tuple[str, in
                 cands.append((true, q))
                 expected += q * m
         own = 0.0 if sign else max(n - SLACK * expected, 0.0)
-        if cands and 1000 * expected > own + PRIOR:
+        if cands and DOUBT * expected > own + PRIOR:
             yield seen, n, own, cands
 
 
