@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 1 / 64
-SALTS = 16
+SALTS = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = SHARE) -> DataFrame:
