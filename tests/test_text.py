@@ -41,20 +41,61 @@ def test_subsequence(a, b):
 
 
 def test_common_substring():
-    assert T._common("vgs2ox", "aagso2ox") in ("2ox",)
+    assert T._common("vgs2ox", "aagso2ox") == "2ox"
+    rng = __import__("random").Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab1") for _ in range(rng.randrange(0, 12))) for _ in range(2))
+        want = max((b[i:j] for i in range(len(b)) for j in range(i + 1, len(b) + 1) if b[i:j] in a), key=len, default="")
+        assert len(T._common(a, b)) == len(want) and T._common(a, b) in a
     assert T._common("abc", "xyz") == ""
 
 
-@pytest.mark.parametrize("a, b, tier", [("Loop Gain", "loop-gain", "MERGE"), ("Full Well Capacity", "FWC", "MERGE"), ("3T pixel", "4T pixel", "REJECT"), ("threshold voltage", "threshold voltage mismatch", "REJECT"), ("auto zero", "autozero technique", "MERGE"), ("slew rate", "settling time", "VERIFY")])
+V = R.Vocabulary(aliases={"ring": ["ring oscillator", "ring osc"]}, qualifiers=("cell",), generic=("amplifier",), discriminators=("pseudo",), stop=("of",))
+
+
+@pytest.mark.parametrize(
+    "a, b, tier",
+    [("Loop Gain", "loop-gain", "MERGE"), ("Slew Rate Limit", "SRL", "MERGE"), ("3T pixel", "4T pixel", "REJECT"), ("offset voltage", "offset voltage drift", "REJECT"), ("ring osc", "ring oscillator cell", "MERGE"), ("slew rate", "settling time", "VERIFY"), ("offset", "offset amplifier", "VERIFY"), (None, "x", "VERIFY")],
+)
 def test_merge_tier(spark, a, b, tier):
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(R.merge_tier(F.col("a"), F.col("b"), F.lit(0.9)).alias("t"))
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(R.merge_tier(R.profile(F.col("a"), V), R.profile(F.col("b"), V), F.lit(0.9), V).alias("t"))
     assert df.first().t == tier
 
 
-def test_negation():
-    assert not A.affirmed("This is not yet certified.") and not A.affirmed("An unverified claim") and not A.affirmed(None)
-    assert A.affirmed("It does not help. The gain is verified.")
-    assert A.stated_processes("Works on sky130A, not on gf180 [certified: ihp]") == ["sky130"]
+@pytest.mark.parametrize(
+    "a, b, same, rule",
+    [("ring osc", "ring oscillator", True, "alias"), ("ring osc", "ring oscillator cell", True, "generic_qualifier"), ("current mirror", "mirror current", True, "salient_containment"), ("pseudo current mirror", "current mirror", False, "salient_containment"), ("fast current mirror", "current mirror", True, "salient_containment"), ("mirror", "current mirror", False, "salient_containment"), ("ota", "cascode ota", True, "salient_containment"), ("", "x", False, "salient_containment"), (None, None, False, "salient_containment")],
+)
+def test_same_entity_and_rule(spark, a, b, same, rule):
+    p, q = R.profile(F.col("a"), V), R.profile(F.col("b"), V)
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(R.same_entity(p, q, V).alias("s"), R.shadow_rule(p, q, V).alias("r")).first()
+    assert (r.s, r.r) == (same, rule)
+
+
+WORDS = A.Wording(trust=("certif", "verified"), negations=("not", "no", "without", "nobody", "cannot"), processes={"fastp": "fast", "fast": "fast", "slow-x": "slow", "slow": "slow"}, copulas=("is", "remains"), states=("tested", "verified"))
+
+
+@pytest.mark.parametrize(
+    "text, trusts",
+    [("This is not yet certified.", False), ("An unverified claim", False), (None, False), ("", False), ("It does not help. The gain is verified.", True), ("A non-verified claim", False), ("It isn't something we would ever call certified", False), ("It isn't one of those that we would ever call certified", True), ("Not 0.5 but certified", False), ("certification stands", True)],
+)
+def test_negation(text, trusts):
+    assert A.affirmed(text, WORDS) is trusts
+
+
+@pytest.mark.parametrize(
+    "text, stated",
+    [("Works on fastp, not on slow [certified: slow]", ["fast"]), ("slow-x remains still untested", []), ("fast is not yet verified. Here slow is fine", ["slow"]), ("fast but not on slow", ["fast"]), ("unslow", []), (None, [])],
+)
+def test_stated_processes(text, stated):
+    assert A.stated_processes(text, WORDS) == stated
+
+
+def test_scope_overstatement(spark):
+    answers = spark.createDataFrame([("d1", "Holds in fast and slow. [cite: a]"), ("d2", "Holds in fast. [ cite : a; b ]"), ("d3", "Holds in slow. [cite: b]"), ("d4", None)], "doc_id string, text string")
+    nodes = spark.createDataFrame([("a", "ClaimCard", "VERIFIED", None, ["fast"]), ("b", "ClaimCard", "VERIFIED", None, None)], "node_id string, label string, verdict string, status string, scope array<string>")
+    got = {(r.doc_id, r.kind) for r in A.answer_findings(answers, nodes, WORDS).collect()}
+    assert got == {("d1", "scope_overstatement")}
 
 
 def test_json_recovery():
