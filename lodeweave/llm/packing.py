@@ -14,7 +14,6 @@ from lodeweave.session import cut
 BUCKETS = 256  # hash ranges that ranks are cut into
 RANGES = 8  # ranges of sizes and gaps that are swept side by side
 
-_EVENT = "pack_name string, capacity long, kind string, value long, n long, done long"
 _ALLOC = "pack_name string, capacity long, kind string, value long, n long, done long, size long, each long, rank long"
 
 
@@ -48,12 +47,17 @@ def sweep(events: list[tuple[str, int, int, int]]) -> tuple[list[tuple[int, int,
     return placed, left + [("gap", *g) for g in stack]
 
 
+_COLUMNS = ["pack_name", "capacity", "kind", "value", "n", "done", "size", "each", "rank"]
+
+
 def _swept(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sweep of a group of classes; allocations made before pass through."""
     name, capacity = pdf["pack_name"].iloc[0], int(pdf["capacity"].iloc[0])
-    placed, left = sweep([(k, int(v), int(n), int(d)) for k, v, n, d in zip(pdf["kind"], pdf["value"], pdf["n"], pdf["done"])])
+    open_ = pdf["kind"] != "put"
+    placed, left = sweep([(k, int(v), int(n), int(d)) for k, v, n, d in zip(*(pdf.loc[open_, c] for c in ("kind", "value", "n", "done")))])
     rows = [(name, capacity, "put", g, u, k, s, e, r) for g, u, k, s, e, r in placed]
     rows += [(name, capacity, k, v, n, d, 0, 0, 0) for k, v, n, d in left]
-    return pd.DataFrame(rows, columns=["pack_name", "capacity", "kind", "value", "n", "done", "size", "each", "rank"])
+    return pd.concat([pdf.loc[~open_, _COLUMNS], pd.DataFrame(rows, columns=_COLUMNS)]) if not open_.all() else pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def placements(classes: DataFrame, max_rounds: int = 400) -> DataFrame:
@@ -64,36 +68,37 @@ def placements(classes: DataFrame, max_rounds: int = 400) -> DataFrame:
     table. A round sorts both by range of value; every range is swept on its own, what it leaves over is swept again over all
     ranges, and the gaps used take their new value. Pieces larger than every gap left open the containers they need in any packing.
     Rounds repeat until no piece is left: about as many as a container holds different sizes. Tables are cut in the shared folder each round."""
+    spark = classes.sparkSession
     key = ["pack_name", "capacity"]
-    items = cut(classes.filter("size > 0").select(*key, F.lit("item").alias("kind"), F.col("size").cast("long").alias("value"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("done")))
-    runs = items.limit(0).select(*key, F.col("value").alias("gap"), F.col("n").alias("first"), F.col("n").alias("many"))
-    opened = cut(items.select(*key).distinct().withColumn("opened", F.lit(0).cast("long")))
-    out, swept = [], items
+    zero = F.lit(0).cast("long")
+    swept = cut(classes.filter("size > 0").select(*key, F.lit("item").alias("kind"), F.col("size").cast("long").alias("value"), F.col("n").cast("long").alias("n"), zero.alias("done"), zero.alias("size"), zero.alias("each"), zero.alias("rank")))
+    runs = swept.limit(0).select(*key, F.col("value").alias("gap"), F.col("n").alias("first"), F.col("n").alias("many"))
+    kinds, opened, out = dict(swept.dtypes), {}, []
     for _ in range(max_rounds):
         rest = swept.filter("kind = 'item' and n > done")
-        # Containers that what fits no gap needs in any packing: by its size, or one for each piece of more than half of it.
+        # Containers that what fits no gap needs in any packing: by its size, or one for each piece of more than half of it. One row a kind of container.
         top = runs.groupBy(*key).agg(F.max("gap").alias("top"))
-        high = rest.join(top, key, "left").filter("value > coalesce(top, 0)").groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.col("value") * (F.col("n") - F.col("done"))) / F.first("capacity")), F.sum(F.when(2 * F.col("value") > F.col("capacity"), F.col("n") - F.col("done")).otherwise(0))).cast("long").alias("need"))
-        grown = opened.join(high, key, "left").withColumn("need", F.coalesce("need", F.lit(0)))
-        fresh = grown.filter("need > 0").select(*key, F.col("capacity").cast("long").alias("gap"), F.col("opened").alias("first"), F.col("need").alias("many"))
-        runs, opened = cut(runs.unionByName(fresh)), cut(grown.select(*key, (F.col("opened") + F.col("need")).alias("opened")))
-        gaps = runs.groupBy(*key, "gap").agg(F.sum("many").alias("n")).select(*key, F.lit("gap").alias("kind"), F.col("gap").alias("value"), "n", F.lit(0).cast("long").alias("done"))
-        events = gaps.unionByName(rest.select(*gaps.columns)).withColumn("part", F.floor(F.col("value") * RANGES / (F.col("capacity") + 1)).cast("int"))
-        local = cut(events.groupBy(*key, "part").applyInPandas(_swept, _ALLOC))
-        again = local.filter("kind <> 'put'").select(*gaps.columns).groupBy(*key).applyInPandas(_swept, _ALLOC)
-        swept = cut(local.filter("kind = 'put'").unionByName(again))
+        tall = F.when(F.col("value") > F.coalesce("top", zero), F.col("n") - F.col("done")).otherwise(0)
+        needs = rest.join(F.broadcast(top), key, "left").groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.col("value") * tall) / F.first("capacity")), F.sum(F.when(2 * F.col("value") > F.col("capacity"), tall).otherwise(0))).cast("long").alias("need")).collect()
+        if not needs:
+            return reduce(DataFrame.unionByName, out)
+        fresh = [(r.pack_name, r.capacity, r.capacity, opened.get((r.pack_name, r.capacity), 0), r.need) for r in needs if r.need]
+        opened |= {(name, cap): first + many for name, cap, _, first, many in fresh}
+        if fresh:
+            runs = runs.unionByName(spark.createDataFrame(fresh, f"pack_name string, capacity {kinds['capacity']}, gap long, first long, many long"))
+        gaps = runs.groupBy(*key, "gap").agg(F.sum("many").alias("n")).select(*key, F.lit("gap").alias("kind"), F.col("gap").alias("value"), "n", zero.alias("done"), zero.alias("size"), zero.alias("each"), zero.alias("rank"))
+        events = gaps.unionByName(rest).withColumn("part", F.floor(F.col("value") * RANGES / (F.col("capacity") + 1)).cast("int"))
+        swept = cut(events.groupBy(*key, "part").applyInPandas(_swept, _ALLOC).groupBy(*key).applyInPandas(_swept, _ALLOC))
         # Which containers the allocated gaps are: unit numbers of a gap's class against its runs.
         order = Window.partitionBy(*key, "gap").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-        at = runs.withColumn("off", F.coalesce(F.sum("many").over(order), F.lit(0)))
-        used = swept.filter("kind = 'put'").select(*key, F.col("value").alias("gap"), F.col("n").alias("u"), F.col("done").alias("k"), "size", "each", "rank")
-        kept = swept.filter("kind = 'gap' and n > done").select(*key, F.col("value").alias("gap"), F.col("done").alias("u"), (F.col("n") - F.col("done")).alias("k"), "size", "each", "rank")
-        both = used.unionByName(kept).join(at, [*key, "gap"]).filter("u < off + many and off < u + k")
+        at = runs.withColumn("off", F.coalesce(F.sum("many").over(order), zero))
+        put = F.col("kind") == "put"
+        used = swept.filter("kind = 'put' or kind = 'gap' and n > done").select(*key, F.col("value").alias("gap"), F.when(put, F.col("n")).otherwise(F.col("done")).alias("u"), F.when(put, F.col("done")).otherwise(F.col("n") - F.col("done")).alias("k"), "size", "each", "rank")
+        both = used.join(at, [*key, "gap"]).filter("u < off + many and off < u + k")
         lo, hi = F.greatest("u", "off"), F.least(F.col("u") + F.col("k"), F.col("off") + F.col("many"))
         parts = cut(both.select(*key, "size", "each", (F.col("rank") + (lo - F.col("u")) * F.col("each")).alias("rank"), (F.col("first") + lo - F.col("off")).alias("container"), (hi - lo).alias("many"), (F.col("gap") - F.col("each") * F.col("size")).alias("gap")))
         out.append(parts.filter("each > 0").select("pack_name", "size", "rank", (F.col("rank") + F.col("many") * F.col("each")).alias("until"), "container", "each"))
         runs = parts.filter("gap > 0").select(*key, "gap", F.col("container").alias("first"), "many")
-        if not swept.filter("kind = 'item' and n > done").limit(1).count():
-            return reduce(DataFrame.unionByName, out)
     raise RuntimeError("packing did not end")
 
 
@@ -119,7 +124,7 @@ def pack(documents: DataFrame, capacities: DataFrame, path: str = RANKS) -> Data
     """
     items = pieces(documents, capacities, path).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
     per = cut(items.groupBy("pack_name", "capacity", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    placed = placements(per.groupBy("pack_name", "capacity", "size").agg(F.sum("n").alias("n"))) if not per.filter("size > 0").isEmpty() else None
+    placed = placements(per.groupBy("pack_name", F.col("capacity").cast("long").alias("capacity"), "size").agg(F.sum("n").alias("n"))) if not per.filter("size > 0").isEmpty() else None
     earlier = Window.partitionBy("pack_name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("pack_name", "size", "bucket", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
     inside = Window.partitionBy("pack_name", "size", "bucket").orderBy("doc_id", "piece")
