@@ -60,6 +60,24 @@ def _swept(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([pdf.loc[~open_, _COLUMNS], pd.DataFrame(rows, columns=_COLUMNS)]) if not open_.all() else pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def _swept_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sweep of all that a kind of container has left, and, if pieces remain, how many containers those need in any packing
+    that no gap holds: by their size, or one for each piece of more than half of it."""
+    out = _swept(pdf)
+    rest = out[(out["kind"] == "item") & (out["n"] > out["done"])]
+    if not len(rest):
+        return out
+    name, capacity = pdf["pack_name"].iloc[0], int(pdf["capacity"].iloc[0])
+    free = out.loc[(out["kind"] == "gap") & (out["n"] > out["done"]), "value"].max() if len(out) else 0
+    put = out[out["kind"] == "put"]
+    made = (put["value"] - put["each"] * put["size"]).max() if len(put) else 0
+    top = max(0 if pd.isna(free) else int(free), int(made))
+    tall = rest[rest["value"] > top]
+    many = tall["n"] - tall["done"]
+    need = max(-(-int((tall["value"] * many).sum()) // capacity), int(many[2 * tall["value"] > capacity].sum()))
+    return pd.concat([out, pd.DataFrame([(name, capacity, "need", need, 0, 0, 0, 0, 0)], columns=_COLUMNS)])
+
+
 def placements(classes: DataFrame, max_rounds: int = 400) -> DataFrame:
     """(pack_name, size, rank, until, container, each): where the pieces of each size go, from classes(pack_name, capacity, size, n).
 
@@ -71,24 +89,23 @@ def placements(classes: DataFrame, max_rounds: int = 400) -> DataFrame:
     spark = classes.sparkSession
     key = ["pack_name", "capacity"]
     zero = F.lit(0).cast("long")
-    swept = cut(classes.filter("size > 0").select(*key, F.lit("item").alias("kind"), F.col("size").cast("long").alias("value"), F.col("n").cast("long").alias("n"), zero.alias("done"), zero.alias("size"), zero.alias("each"), zero.alias("rank")))
+    first = classes.filter("size > 0").select(*key, F.lit("item").alias("kind"), F.col("size").cast("long").alias("value"), F.col("n").cast("long").alias("n"), zero.alias("done"), zero.alias("size"), zero.alias("each"), zero.alias("rank"))
+    swept = cut(first.groupBy(*key).applyInPandas(_swept_whole, _ALLOC))
     runs = swept.limit(0).select(*key, F.col("value").alias("gap"), F.col("n").alias("first"), F.col("n").alias("many"))
-    kinds, opened, out = dict(swept.dtypes), {}, []
+    opened, out = {}, []
     for _ in range(max_rounds):
-        rest = swept.filter("kind = 'item' and n > done")
-        # Containers that what fits no gap needs in any packing: by its size, or one for each piece of more than half of it. One row a kind of container.
-        top = runs.groupBy(*key).agg(F.max("gap").alias("top"))
-        tall = F.when(F.col("value") > F.coalesce("top", zero), F.col("n") - F.col("done")).otherwise(0)
-        needs = rest.join(F.broadcast(top), key, "left").groupBy(*key).agg(F.greatest(F.ceil(F.sum(F.col("value") * tall) / F.first("capacity")), F.sum(F.when(2 * F.col("value") > F.col("capacity"), tall).otherwise(0))).cast("long").alias("need")).collect()
+        needs = swept.filter("kind = 'need'").select(*key, F.col("value").alias("need")).collect()  # one row a kind of container
         if not needs:
             return reduce(DataFrame.unionByName, out)
-        fresh = [(r.pack_name, r.capacity, r.capacity, opened.get((r.pack_name, r.capacity), 0), r.need) for r in needs if r.need]
-        opened |= {(name, cap): first + many for name, cap, _, first, many in fresh}
+        rest = swept.filter("kind = 'item' and n > done")
+        fresh = [(r.pack_name, r.capacity, opened.get((r.pack_name, r.capacity), 0), r.need) for r in needs if r.need]
+        opened |= {(name, cap): begin + many for name, cap, begin, many in fresh}
         if fresh:
-            runs = runs.unionByName(spark.createDataFrame(fresh, f"pack_name string, capacity {kinds['capacity']}, gap long, first long, many long"))
+            rows = F.array(*(F.struct(F.lit(name).alias("pack_name"), *(F.lit(x).cast("long").alias(c) for x, c in ((cap, "capacity"), (cap, "gap"), (begin, "first"), (many, "many")))) for name, cap, begin, many in fresh))
+            runs = runs.unionByName(spark.range(1).select(F.inline(rows)))
         gaps = runs.groupBy(*key, "gap").agg(F.sum("many").alias("n")).select(*key, F.lit("gap").alias("kind"), F.col("gap").alias("value"), "n", zero.alias("done"), zero.alias("size"), zero.alias("each"), zero.alias("rank"))
         events = gaps.unionByName(rest).withColumn("part", F.floor(F.col("value") * RANGES / (F.col("capacity") + 1)).cast("int"))
-        swept = cut(events.groupBy(*key, "part").applyInPandas(_swept, _ALLOC).groupBy(*key).applyInPandas(_swept, _ALLOC))
+        swept = cut(events.groupBy(*key, "part").applyInPandas(_swept, _ALLOC).groupBy(*key).applyInPandas(_swept_whole, _ALLOC))
         # Which containers the allocated gaps are: unit numbers of a gap's class against its runs.
         order = Window.partitionBy(*key, "gap").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
         at = runs.withColumn("off", F.coalesce(F.sum("many").over(order), zero))
