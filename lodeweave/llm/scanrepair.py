@@ -88,14 +88,17 @@ def grams(text: str) -> list[str]:
     """Words, pairs of words (numbers as #), hyphenated words inside lines, and the keys of whole lines of one text."""
     out: list[str] = []
     low = text.lower()
-    lines = (_JOINED.sub("\n", low) if _ENDS.search(low) else low).splitlines()
+    broken = _ENDS.search(low)
+    lines = (_JOINED.sub("\n", low) if broken else low).splitlines()
     for line in lines:
         ws = _words(line)
         out += ws
         out += map(" ".join, zip(ws, ws[1:]))
         if "-" in line:
             out += _COMPOUND.findall(line)
-    if len(lines) > 1:
+        if not broken and len(ws) > 1 and len(lines) > 1:
+            out.append(_keyed(ws))
+    if broken:
         out += [k for k in map(line_key, low.splitlines()) if k]
     return out
 
@@ -183,8 +186,8 @@ class Model:
         """Whether a running line begins with the same word."""
         if self.leads is None:
             self.leads = {k[1:].split(" ", 1)[0] for k in self.running}
-        ws = _raw(line.lower())
-        return bool(ws) and ("#" if len(ws[0]) == 1 or ws[0].isdigit() else shape(ws[0])) in self.leads
+        m = _WORD.search(line)
+        return m is not None and ("#" if m.end() - m.start() == 1 or m.group(0).isdigit() else shape(m.group(0))) in self.leads
 
     @classmethod
     def of(cls, counts: dict[str, int]) -> Model:
@@ -285,14 +288,14 @@ def is_header(line: str, model: Model, title: str | None = None, section: str |
     bare = _NUMBERED.sub("", line).strip()
     if not bare:
         return False
-    strokes, words = bare.lower().translate(_TRANS), None
+    blanks, words = bare.count(" "), None
     for known in (_plain(title), _plain(section)):
-        if known and known[0] in strokes and known[-1] in strokes:
+        if known and blanks <= 2 * len(known) + 4:  # a word has a blank or two
             words = words or _plain(bare)
             extra = len(words) - len(known)
             if extra <= 2 and any(words[i : i + len(known)] == known for i in range(extra + 1)) and (not extra or len(known) > 1 and not bare.endswith(".")):
                 return True
-    if (model.may_run(line) and line_key(line) in model.running) or (len(bare) < len(line) and model.may_run(bare) and line_key(bare) in model.running):
+    if model.running and (model.may_run(line) and line_key(line) in model.running or len(bare) < len(line) and model.may_run(bare) and line_key(bare) in model.running):
         return True
     if _SMALL.search(bare):
         return False
