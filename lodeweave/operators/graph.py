@@ -241,9 +241,10 @@ def reinforce_by_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def survivors_of_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, survivor_id) of nodes with equal name: highest degree, then reinforcement, then smallest id stays."""
-    d = nodes.select("label", "node_id", F.lower(F.trim("name")).alias("key"), F.coalesce("reinforcement_count", F.lit(1)).alias("rc")).join(degree(nodes, edges), "node_id")
-    best = d.filter("key is not null").groupBy("label", "key").agg(F.min(F.struct((-F.col("degree")).alias("d"), (-F.col("rc")).alias("r"), "node_id"))["node_id"].alias("survivor_id"))
+    """(node_id, survivor_id) of nodes with equal name: highest degree, then reinforcement, then the earliest created_at (if there is that column; null last), then the smallest id stays."""
+    born = F.col("created_at") if "created_at" in nodes.columns else F.lit(None).cast("timestamp")
+    d = nodes.select("label", "node_id", F.lower(F.trim("name")).alias("key"), F.coalesce("reinforcement_count", F.lit(1)).alias("rc"), born.isNull().alias("unborn"), born.alias("born")).join(degree(nodes, edges), "node_id")
+    best = d.filter("key is not null").groupBy("label", "key").agg(F.min(F.struct((-F.col("degree")).alias("d"), (-F.col("rc")).alias("r"), "unborn", "born", "node_id"))["node_id"].alias("survivor_id"))
     return d.join(best, ["label", "key"]).filter("node_id <> survivor_id").select("node_id", "survivor_id")
 
 
@@ -270,9 +271,11 @@ def retract(nodes: DataFrame, gone: DataFrame, reason: str) -> DataFrame:
     return nodes.join(g, "node_id", "left").withColumn("retracted", F.coalesce("__g", "retracted", F.lit(False))).withColumn("retraction_reason", F.when(F.col("__g"), F.lit(reason))).drop("__g")
 
 
-def add_aliases(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(node_id, aliases): old aliases, then new ones not held yet, in order; a node's own name is no alias."""
+def add_aliases(nodes: DataFrame, aliases: DataFrame, replace: bool = False) -> DataFrame:
+    """(node_id, aliases): old aliases, then new ones not held yet, in order; a node's own name is no alias. With ``replace`` the
+    new ones take the place of the old where a node has any."""
     extra = aliases.filter("alias is not null").groupBy("node_id").agg(F.array_sort(F.collect_set("alias")).alias("__a"))
     joined = nodes.join(extra, "node_id", "left")
-    both = F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("__a", F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    both = F.coalesce("__a", "aliases", none) if replace else F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("__a", none)))
     return joined.select("node_id", F.filter(both, lambda a: ~a.eqNullSafe(F.col("name"))).alias("aliases"))

@@ -85,13 +85,14 @@ def why_law(laws: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def phrase_window(phrases: DataFrame, nodes: DataFrame, degrees: DataFrame, limit: int = 40) -> DataFrame:
-    """(phrase, node_id, rank): nodes whose name holds a word of the phrase, by degree, then name.
+    """(phrase, node_id, rank): nodes whose name holds a word of the phrase (of three letters at least, inside longer words too), by degree, then name.
 
-    Words meet words by equi-join, so no name is compared with every phrase."""
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0))))
-    p = phrases.select("phrase", words(F.col("phrase")).alias("w"))
-    n = nodes.select("node_id", "name", words(F.col("name")).alias("w"))
-    hit = p.join(n, "w").select("phrase", "node_id", "name").distinct().join(degrees, "node_id", "left")
+    Words meet names through an index of letter triples, so no name is compared with every phrase."""
+    from lodeweave.operators.retrieval import containing
+
+    words = phrases.select("phrase", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("w"))
+    held = containing(words.select(F.col("w").alias("phrase")), nodes).withColumnRenamed("phrase", "w")
+    hit = words.join(held, "w").select("phrase", "node_id", "name").distinct().join(degrees, "node_id", "left")
     w = Window.partitionBy("phrase").orderBy(F.desc_nulls_last("degree"), "name", "node_id")
     return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("phrase", "node_id", "rank")
 
@@ -159,6 +160,23 @@ def embedding_text(nodes: DataFrame, have: DataFrame, force: bool = False) -> Da
     return todo.select("node_id", F.concat_ws(". ", F.when(F.trim("name") != "", F.col("name")), F.when(F.trim("description") != "", F.col("description"))).alias("text"))
 
 
+def embedded(todo: DataFrame, encode, dim: int) -> DataFrame:
+    """(node_id, embedding) of todo(node_id, text): ``encode`` takes a list of texts and gives a vector of ``dim`` values for each, batch by batch.
+
+    A text that is null or empty, or whose vector has another length, gets none."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("node_id").to_pylist(), batch.column("text").to_pylist()
+            at = [i for i, t in enumerate(texts) if t]
+            made = encode([texts[i] for i in at]) if at else []
+            rows = [(ids[i], [float(x) for x in v]) for i, v in zip(at, made) if v is not None and len(v) == dim]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["node_id", "embedding"])
+
+    return todo.select(F.col("node_id").cast("string").alias("node_id"), "text").mapInArrow(run, "node_id string, embedding array<float>")
+
+
 def specimen_projection(links: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, unresolved): link requests whose text names a target become edges; the others are returned.
 
@@ -187,10 +205,13 @@ def normalised_proposals(raw: DataFrame) -> DataFrame:
 
 
 def grounding_filter(concepts: DataFrame, edges: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(concepts, edges) that their chunk's text supports: concepts(chunk_id, name), edges(chunk_id, source_name, target_name)."""
-    from lodeweave.operators.text import edges_grounded, grounded
+    """(concepts, edges) that their chunk's text supports: concepts(chunk_id, name), edges(chunk_id, source_name, target_name).
+
+    What stands between figure marks was described from a picture and supports nothing."""
+    from lodeweave.operators.text import FIGURE_CLOSE, FIGURE_OPEN, edges_grounded, grounded
 
-    kept = concepts.join(texts.select("chunk_id", "text"), "chunk_id").filter(grounded(F.col("name"), F.col("text"))).select("chunk_id", "name")
+    own = F.regexp_replace("text", f"(?s)\\Q{FIGURE_OPEN}\\E.*?(\\Q{FIGURE_CLOSE}\\E|$)", " ")
+    kept = concepts.join(texts.select("chunk_id", own.alias("text")), "chunk_id").filter(grounded(F.col("name"), F.col("text"))).select("chunk_id", "name")
     return kept, edges_grounded(edges, kept)
 
 

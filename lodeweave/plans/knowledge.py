@@ -94,7 +94,7 @@ Q = {
     "kg_open_items": (lambda s, d: K.open_items(ins(s, d).select("id", "confidence"), _refs(s, d), _chunk_names(s, d).filter("name = 'Noise budget'")), "select insight_id id, confidence from insights where exists (select 1 from chunks where section_title = 'Noise budget' and list_contains(evidence_chunk_ids, chunk_id)) order by confidence desc nulls last, insight_id limit 5"),
     "kg_specimen_evidence": (lambda s, d: K.specimen_evidence(view(s, d, "link_requests").withColumn("target", F.lower("match_text")), _laws_by_target(s, d)), "with l as (select lower(name) target, min('law_' || topology_id) law_id from topology_nodes group by 1) select split_part(source_id_value, ':', 1) spec_id, count(distinct case when contains(source_id_value, ':') then source_id_value end) n_claims, coalesce(string_agg(distinct case when contains(source_id_value, ':') then source_id_value end, ',' order by case when contains(source_id_value, ':') then source_id_value end), '') claims, coalesce(string_agg(distinct law_id, ',' order by law_id), '') laws from link_requests left join l on target = lower(match_text) group by 1"),
     "kg_why_law": (lambda s, d: K.why_law(PE._laws(s, d), view(s, d, "runs")), PE._L + ", cd as (select topology_class, pdk, min(claim_id) card from runs group by 1, 2) select l.claim_id, reason, ag.pdk, verdict, card from laws l left join ag on ag.claim_id = l.claim_id left join cd on cd.topology_class = l.topology_class and cd.pdk = ag.pdk"),
-    "kg_phrase_window": (lambda s, d: K.phrase_window(s.createDataFrame([("Almond azure",), ("Blue metal",)], "phrase string"), view(s, d, "nodes").filter("label = 'Parameter'"), G.degree(view(s, d, "nodes"), view(s, d, "edges")), 15), f", dg as (select n.node_id, count(a) degree from nodes n left join {_SYM} e on e.a = n.node_id group by 1), w as (select phrase, unnest(list_distinct(regexp_extract_all(lower(phrase), '[a-z0-9]{{3,}}'))) w from (select unnest(['Almond azure', 'Blue metal']) phrase)), n as (select node_id, name, unnest(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]{{3,}}'))) w from nodes where label = 'Parameter'), h as (select distinct phrase, node_id, name from w join n using (w)) select phrase, node_id, r as rank from (select phrase, h.node_id, row_number() over (partition by phrase order by degree desc nulls last, name, h.node_id) r from h join dg on dg.node_id = h.node_id) where r <= 15"),
+    "kg_phrase_window": (lambda s, d: K.phrase_window(s.createDataFrame([("Almond azure",), ("Blue met",)], "phrase string"), view(s, d, "nodes").filter("label = 'Parameter'"), G.degree(view(s, d, "nodes"), view(s, d, "edges")), 15), f", dg as (select n.node_id, count(a) degree from nodes n left join {_SYM} e on e.a = n.node_id group by 1), w as (select phrase, unnest(list_distinct(regexp_extract_all(lower(phrase), '[a-z0-9]{{3,}}'))) w from (select unnest(['Almond azure', 'Blue met']) phrase)), h as (select distinct phrase, node_id, name from w join nodes n on n.label = 'Parameter' and contains(lower(name), w.w)) select phrase, node_id, r as rank from (select phrase, h.node_id, row_number() over (partition by phrase order by degree desc nulls last, name, h.node_id) r from h join dg on dg.node_id = h.node_id) where r <= 15"),
     "kg_first_evidence": (lambda s, d: K.first_evidence(ins(s, d).select("id", F.col("evidence_chunk_ids").alias("chunk_ids")), view(s, d, "chunks")), ", f as (select insight_id id, list_filter(evidence_chunk_ids, lambda x: x is not null) c from insights), u as (select id, c, list_filter(range(1, len(c) + 1), lambda i: list_position(c, c[i]) = i)[1:3] ix from f), x as (select id, i - 1 pos, c[ix[i]] chunk_id from (select *, unnest(range(1, len(ix) + 1)) i from u)) select id, pos, x.chunk_id, text_preview as text from x left join chunks k on k.chunk_id = x.chunk_id"),
     "kg_coverage": (lambda s, d: K.coverage(_targets(s, d), _targets(s, d).filter("p_size > 40")), "with t as (select distinct substr(p_brand, 7, 1) c, p_type, p_brand from part), k as (select distinct substr(p_brand, 7, 1) c, p_type, p_brand, 1 x from part where p_size > 40) select t.c topology_class, count(*) total, count(x) done, count(*) - count(x) uncovered from t left join k using (c, p_type, p_brand) group by 1"),
     "kg_growth_plan": (lambda s, d: K.growth_plan(_targets(s, d).withColumn("source", F.when(F.col("p_size") > 45, "queue").when(F.col("p_size") > 35, "backlog").otherwise("coverage")), 6, 22), "with o as (select substr(p_brand, 7, 1) topology_class, p_type metric, p_brand knob, min(case when p_size > 45 then 0 when p_size > 35 then 1 else 2 end) p from part group by 1, 2, 3), l as (select *, row_number() over (partition by topology_class order by p, metric, knob) r from o) select topology_class, metric, knob, ['queue','backlog','coverage'][p + 1] source, row_number() over (order by p, topology_class, metric, knob) as rank from (select * from l where r <= 6 order by p, topology_class, metric, knob limit 22)"),

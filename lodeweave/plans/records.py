@@ -131,6 +131,7 @@ Q = {
     "io_run_rows": (lambda s, d: I.run_rows(_runlines(s, d)).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.count("pdk").alias("n_pdk"), F.count(F.col("verdicts")["c1"]).alias("n_verdicts")), "select case event_id % 5 when 0 then 'malformed' when 1 then 'missing topology_class' end error, count(*) n, count(*) filter (where event_id % 5 > 2) n_pdk, count(*) filter (where event_id % 5 > 2) n_verdicts from events where event_id % 5 <> 2 group by 1"),
     "io_vault": (lambda s, d: I.vault(view(s, d, "documents")).select("sha", F.length("text").alias("n")), "select distinct sha256(text) sha, length(text) n from documents where text is not null"),
     "io_evidence_text": (lambda s, d: I.evidence_text(view(s, d, "chunks").withColumn("raw_text_hash", F.when(F.col("chunk_index") % 2 == 0, F.sha2("text_preview", 256)).otherwise(F.col("raw_text_hash"))), I.vault(view(s, d, "chunks").select(F.col("text_preview").alias("text")))), "select chunk_id, coalesce(text_preview, '') as text, chunk_index % 2 = 0 and text_preview is not null verbatim from chunks"),
+    "io_evidence_for": (lambda s, d: I.evidence_for(view(s, d, "insights").select(F.explode("evidence_chunk_ids").alias("chunk_id")), view(s, d, "chunks"), I.vault(view(s, d, "chunks").select(F.col("text_preview").alias("text")))), "with q as (select distinct unnest(evidence_chunk_ids) chunk_id from insights) select q.chunk_id, c.chunk_id is not null found, coalesce(text_preview, '') as text, false verbatim from q left join chunks c on c.chunk_id = q.chunk_id"),
     "io_journal_tail": (lambda s, d: I.journal_tail(view(s, d, "events"), 25).select("event_id", "ts"), "select event_id, ts from events order by ts desc, event_id desc limit 25"),
     "io_latest_status": (lambda s, d: I.latest_status(_queue(s, d), "user_id", F.col("event_id")), "select user_id, arg_max(case when event_id % 3 = 0 then 'pending' else 'done' end, event_id) status from events group by 1"),
     "io_pending": (lambda s, d: I.pending(_queue(s, d), "user_id", F.col("event_id")), "select user_id from events group by 1 having max(event_id) % 3 = 0"),

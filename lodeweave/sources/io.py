@@ -102,6 +102,28 @@ def evidence_text(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return j.select("chunk_id", F.coalesce("full", "text_preview", F.lit("")).alias("text"), F.col("full").isNotNull().alias("verbatim"))
 
 
+def evidence_for(requests: DataFrame, chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """(chunk_id, found, text, verbatim) of requests(chunk_id): every id asked for gives a row, unknown ones an empty text."""
+    e = evidence_text(chunks, stored).withColumn("known", F.lit(True))
+    j = requests.select("chunk_id").distinct().join(e, "chunk_id", "left")
+    return j.select("chunk_id", F.coalesce("known", F.lit(False)).alias("found"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("verbatim", F.lit(False)).alias("verbatim"))
+
+
+def journal_append(entries: DataFrame, path: str, day: Column) -> None:
+    """Append entries to a journal of JSON lines, a folder a day, so that old days can be rotated out whole."""
+    entries.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+
+
+def journal_rotate(spark: SparkSession, path: str, keep_from: str) -> int:
+    """Drop the journal's folders of days before ``keep_from`` (yyyy-MM-dd); how many were dropped."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("day=") and f.getPath().getName()[4:] < keep_from]
+    for f in old:
+        fs.delete(f, True)
+    return len(old)
+
+
 def journal_tail(journal: DataFrame, n: int) -> DataFrame:
     """The last n entries of (ts, event_id, op)."""
     return journal.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)

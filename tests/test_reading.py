@@ -162,3 +162,40 @@ def test_prefixes_of_ids(spark):
     q = ["chunk_0123456789ab", "chunk_0123456789abc", "chunk_ffff56789", "chunk_ffff56789abc", "plain", "pla", None, "chunk_aaaaaaaaaaaa", "chunk_0123456789abcd"]
     got = {r.request: r.node_id for r in G.resolve_prefix(spark.createDataFrame([(x,) for x in q], "request string"), n).collect()}
     assert got == {"chunk_0123456789abc": "chunk_0123456789abcd", "chunk_ffff56789abc": "chunk_ffff56789abc0", "plain": "plain", "chunk_0123456789abcd": "chunk_0123456789abcd"}
+
+
+def test_aliases_are_added_or_replaced(spark):
+    n = spark.createDataFrame([("1", "n", ["a", "b"]), ("2", "m", None), ("3", "k", ["x"])], "node_id string, name string, aliases array<string>")
+    a = spark.createDataFrame([("1", "b"), ("1", "c"), ("1", "n"), ("2", "z"), ("2", None), ("9", "q")], "node_id string, alias string")
+    assert {r.node_id: r.aliases for r in G.add_aliases(n, a).collect()} == {"1": ["a", "b", "c"], "2": ["z"], "3": ["x"]}
+    assert {r.node_id: r.aliases for r in G.add_aliases(n, a, replace=True).collect()} == {"1": ["b", "c"], "2": ["z"], "3": ["x"]}
+
+
+def test_survivors_prefer_the_earliest(spark):
+    n = spark.createDataFrame([("C", "1", "x", None), ("C", "2", "X ", "2024-01-02"), ("C", "3", "x", "2024-01-01"), ("D", "4", "x", None), ("C", "5", None, None)], "label string, node_id string, name string, created string").withColumn("created_at", F.col("created").cast("timestamp")).withColumn("reinforcement_count", F.lit(1))
+    e = spark.createDataFrame([], EDGE)
+    assert {(r.node_id, r.survivor_id) for r in G.survivors_of_names(n, e).collect()} == {("1", "3"), ("2", "3")}
+
+
+def test_described_figures_ground_nothing(spark):
+    from lodeweave.operators import knowledge as K
+
+    c = spark.createDataFrame([("c", "current mirror"), ("c", "bandgap core")], "chunk_id string, name string")
+    x = spark.createDataFrame([("c", "The bandgap core. <<figure>>a current mirror<</figure>>")], "chunk_id string, text string")
+    e = spark.createDataFrame([], "chunk_id string, source_name string, target_name string")
+    assert [r.name for r in K.grounding_filter(c, e, x)[0].collect()] == ["bandgap core"]
+
+
+def test_encoder_hook(spark):
+    from lodeweave.operators import knowledge as K
+
+    todo = spark.createDataFrame([("1", "ab"), ("2", ""), ("3", None), ("4", "odd")], "node_id string, text string")
+    got = {r.node_id: r.embedding for r in K.embedded(todo, lambda ts: [[float(len(t)), 1.0] if t != "odd" else [1.0] for t in ts], 2).collect()}
+    assert got == {"1": [2.0, 1.0]}
+
+
+def test_journal(spark, tmp_path):
+    p = str(tmp_path / "j")
+    for day in ("2026-01-01", "2026-01-02", "2026-01-02"):
+        I.journal_append(spark.createDataFrame([(day, "op")], "ts string, op string"), p, F.col("ts"))
+    assert I.journal_rotate(spark, p, "2026-01-02") == 1 and spark.read.json(p).count() == 2
