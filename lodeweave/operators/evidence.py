@@ -265,11 +265,15 @@ def drift(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """(claim_id, pdk, drift): ERROR if the run failed, MISSING without a stored verdict, DRIFTED if it changed,
     VALUE-DRIFT if the scalar moved over a quarter of the tolerance, else CONCORDANT.
 
-    fresh: claim_id, pdk, ok, verdict, scalar; stored: claim_id, pdk, verdict, scalar, tolerance."""
+    fresh: claim_id, pdk, ok, verdict, scalar; stored: claim_id, pdk, verdict, scalar, tolerance. Where fresh tells kind and
+    seeded, a drift of an unseeded statistical or elasticity claim is NOISE."""
     s = stored.select("claim_id", "pdk", F.col("verdict").alias("v0"), F.col("scalar").alias("s0"), "tolerance")
     j = fresh.join(s, ["claim_id", "pdk"], "left")
     moved = F.coalesce(F.abs(F.col("scalar") - F.col("s0")) > 0.25 * F.col("tolerance"), F.lit(False))
     kind = F.when(~F.col("ok"), "ERROR").when(F.col("v0").isNull(), "MISSING").when(~F.col("v0").eqNullSafe(F.col("verdict")), "DRIFTED").when(moved, "VALUE-DRIFT").otherwise("CONCORDANT")
+    if {"kind", "seeded"} <= set(fresh.columns):
+        loose = F.col("kind").isin("statistical", "elasticity") & ~F.coalesce("seeded", F.lit(False))
+        kind = F.when(kind.isin("DRIFTED", "VALUE-DRIFT") & F.coalesce(loose, F.lit(False)), "NOISE").otherwise(kind)
     return j.select("claim_id", "pdk", kind.alias("drift"))
 
 

@@ -234,10 +234,15 @@ def merge_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[DataF
 
 
 def reinforce_by_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
-    """Count + number of proposals, latest proposal time, confidence unchanged."""
+    """Count + number of proposals, latest proposal time, confidence unchanged; where both have a column evidence (an array of ids),
+    the proposals' evidence is appended in the order of their times, duplicates kept."""
     keys = ["src_id", "rel_type", "dst_id"]
-    d = delta.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"))
-    return edges.join(d, keys, "left").select(*keys, "confidence", (F.coalesce("reinforcement_count", F.lit(1)) + F.coalesce("__n", F.lit(0))).alias("reinforcement_count"), F.greatest("last_reinforced", "__at").alias("last_reinforced"))
+    told = "evidence" in edges.columns and "evidence" in delta.columns
+    none = F.array().cast("array<string>")
+    more = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("evidence", none).alias("e")))), lambda x: x["e"])).alias("__e")] if told else []
+    d = delta.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"), *more)
+    out = [F.concat(F.coalesce("evidence", none), F.coalesce("__e", none)).alias("evidence")] if told else []
+    return edges.join(d, keys, "left").select(*keys, "confidence", (F.coalesce("reinforcement_count", F.lit(1)) + F.coalesce("__n", F.lit(0))).alias("reinforcement_count"), F.greatest("last_reinforced", "__at").alias("last_reinforced"), *out)
 
 
 def survivors_of_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -211,6 +211,37 @@ def breaker(calls: DataFrame, key: str, order: list[str], failed: str, threshold
     return g.withColumn("streak", s).select(key, *order, "streak", (F.col("streak") >= threshold).alias("open"))
 
 
+def timed_breaker(calls: DataFrame, key: str, at: str, order: str, failed: str, threshold: int = 3, reset_seconds: float = 120.0) -> DataFrame:
+    """(key, order, allowed, state, streak) of each call in order of (at, order): after ``threshold`` failures in a row the breaker is open and
+    refuses calls for ``reset_seconds``; the next one is a trial: its success closes the breaker, its failure opens it again.
+
+    state is the one after the call. Refused calls change nothing. The rule is sequential per key, so a key's calls
+    are read as a sorted stream with three numbers of state. A null key is a key, a null outcome a success."""
+    import pyarrow as pa
+
+    kinds = dict(calls.dtypes)
+    rows = calls.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.coalesce(F.col(failed), F.lit(False)).alias("f"))
+
+    def run(batches):
+        now, streak, opened = object(), 0, None
+        for batch in batches:
+            out = []
+            for k, t, f in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "f"))):
+                if k != now:
+                    now, streak, opened = k, 0, None
+                if opened is not None and (t is None or t < opened + reset_seconds * 1e6):
+                    out.append((False, "open", streak))
+                    continue
+                streak = streak + 1 if f else 0
+                opened = t if f and (opened is not None or streak >= threshold) else None
+                out.append((True, "open" if opened is not None else "closed", streak))
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("o"), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["k", "o", "allowed", "state", "streak"])
+
+    done = rows.repartition("k").sortWithinPartitions("k", "t", "o").mapInArrow(run, f"k {kinds[key]}, o {kinds[order]}, allowed boolean, state string, streak long")
+    return done.select(F.col("k").alias(key), F.col("o").alias(order), "allowed", "state", "streak")
+
+
 def backoff(attempts: DataFrame, initial: float = 0.5, factor: float = 2.0, cap: float = 30.0) -> DataFrame:
     """(attempt, delay) without jitter."""
     return attempts.select("attempt", F.least(F.lit(cap), initial * F.pow(F.lit(factor), F.col("attempt"))).alias("delay"))

@@ -87,11 +87,10 @@ def heading_kind(line: Column) -> Column:
     return F.when(F.length(s) > 80, None).when(s.rlike(r"^\d+(\.\d+)*\.? [A-Z]"), "numbered").when(s.rlike(r"^[IVXLC]+\. "), "roman").when(s.rlike(r"(?i)^(chapter|section|part) \d+"), "chapter").when(s.rlike(r"(?i)^(abstract|introduction|conclusions?|references|appendix)\b"), "academic").when(s.rlike(r"^[A-Z][A-Z ]{5,}$"), "caps")
 
 
-def caption_kind(c: Column) -> Column:
-    """The first kind whose pattern the text meets."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    out = F.lit("other")
-    for kind, rx in reversed([("schematic", "schematic|circuit|topology|net "), ("plot", "plot|curve|versus|sweep|corner"), ("layout", "layout|floorplan|routing"), ("table", "table|list")]):
+def caption_kind(c: Column, kinds: list[tuple[str, str]], other: str = "other") -> Column:
+    """The first of the ordered (kind, pattern) whose pattern the caption holds, whatever the case; null and unknown ones are ``other``."""
+    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(other)
+    for kind, rx in reversed(kinds):
         out = F.when(low.rlike(rx), kind).otherwise(out)
     return out
 

@@ -93,6 +93,7 @@ Q = {
         , g as (select skill_name, executed_at, run_id, not success f, sum(success::int) over (partition by skill_name order by executed_at, run_id rows unbounded preceding) g from skill_runs),
         h as (select skill_name, executed_at, run_id, sum(f::int) over (partition by skill_name, g order by executed_at, run_id rows unbounded preceding) streak from g)
         select *, streak >= 3 as open from h"""),
+    "call_timed_breaker": (lambda s, d: M.timed_breaker(_calls(s, d), "skill_name", "executed_at", "run_id", "failed", 2, 3600.0), None),
     "call_backoff": (lambda s, d: M.backoff(s.range(0, 12).select(F.col("id").alias("attempt"))), "select range attempt, least(30e0, 0.5e0 * pow(2e0, range)) delay from range(0, 12)"),
     "ingest_confidence": (lambda s, d: M.ingest_confidence(view(s, d, "insights").filter("confidence is not null").select("insight_id", "confidence", (F.col("bridge_type") == "within-domain").alias("matched"), F.coalesce("reviewed", F.lit(False)).alias("widened"))).select("insight_id", F.round("confidence", 3).alias("confidence")), """
         select insight_id, round(round(round(confidence * case when bridge_type = 'within-domain' then 1e0 else 0.78e0 end, 4) * case when coalesce(reviewed, false) then 0.8e0 else 1e0 end, 4), 3) confidence from insights where confidence is not null"""),

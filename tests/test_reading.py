@@ -199,3 +199,32 @@ def test_journal(spark, tmp_path):
     for day in ("2026-01-01", "2026-01-02", "2026-01-02"):
         I.journal_append(spark.createDataFrame([(day, "op")], "ts string, op string"), p, F.col("ts"))
     assert I.journal_rotate(spark, p, "2026-01-02") == 1 and spark.read.json(p).count() == 2
+
+
+def test_timed_breaker(spark):
+    from datetime import datetime, timedelta
+
+    from lodeweave.operators.memory import timed_breaker
+
+    t0 = datetime(2026, 1, 1)
+    calls = [(0, True), (1, True), (2, True), (3, False), (100, True), (123, True), (124, False), (244, False), (245, True), (246, None)]
+    rows = [("a", t0 + timedelta(seconds=s), i, f) for i, (s, f) in enumerate(calls)] + [(None, t0, 1, True), ("b", t0, 1, True)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, n int, failed boolean")
+    got = {r.n: (r.allowed, r.state, r.streak) for r in timed_breaker(df, "k", "at", "n", "failed").filter("k = 'a'").collect()}
+    assert got == {0: (True, "closed", 1), 1: (True, "closed", 2), 2: (True, "open", 3), 3: (False, "open", 3), 4: (False, "open", 3), 5: (True, "open", 4), 6: (False, "open", 4), 7: (True, "closed", 0), 8: (True, "closed", 1), 9: (True, "closed", 0)}
+    assert timed_breaker(df, "k", "at", "n", "failed").count() == 12 and timed_breaker(df.limit(0), "k", "at", "n", "failed").count() == 0
+
+
+def test_delta_appends_evidence(spark):
+    e = spark.createDataFrame([("1", "R", "2", 0.5, None, 1, ["x"]), ("1", "R", "3", 0.5, 4, 1, None)], "src_id string, rel_type string, dst_id string, confidence double, reinforcement_count int, last_reinforced int, evidence array<string>")
+    d = spark.createDataFrame([("1", "R", "2", 5, ["y", "x"]), ("1", "R", "2", 4, ["z"]), ("1", "R", "2", 6, None)], "src_id string, rel_type string, dst_id string, at int, evidence array<string>")
+    got = {r.dst_id: (r.reinforcement_count, r.last_reinforced, r.evidence) for r in G.reinforce_by_delta(e, d).collect()}
+    assert got == {"2": (4, 6, ["x", "z", "y", "x"]), "3": (4, 1, [])}
+
+
+def test_unseeded_drift_is_noise(spark):
+    from lodeweave.operators.evidence import drift
+
+    f = spark.createDataFrame([("a", "p", True, "REFUTED", 1.0, "statistical", False), ("b", "p", True, "REFUTED", 1.0, "statistical", True), ("c", "p", True, "REFUTED", 1.0, "value", None), ("d", "p", False, None, None, "elasticity", None)], "claim_id string, pdk string, ok boolean, verdict string, scalar double, kind string, seeded boolean")
+    s = spark.createDataFrame([(c, "p", "VERIFIED", 1.0, 0.1) for c in "abcd"], "claim_id string, pdk string, verdict string, scalar double, tolerance double")
+    assert {r.claim_id: r.drift for r in drift(s, f).collect()} == {"a": "NOISE", "b": "DRIFTED", "c": "DRIFTED", "d": "ERROR"}
