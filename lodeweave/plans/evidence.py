@@ -58,8 +58,9 @@ def _claims(s, d):
 _CL = "(select claim_id, pdk, verdict, case when seq % 3 = 0 then 'because' end narrative, seq % 4 = 0 injected from runs)"
 
 
-# Closed forms by class and metric; even classes have none for the gain.
-MODELS = {("odd", "gbw"): (V.gain_bandwidth(), 0.25), ("odd", "gain_db"): (V.gain_db(), 0.15), ("even", "gbw"): (V.gain_bandwidth(), 0.15)}
+def _models():
+    """Closed forms by class and metric; even classes have none for the gain."""
+    return {("odd", "gbw"): (V.gain_bandwidth(), 0.25), ("odd", "gain_db"): (V.gain_db(), 0.15), ("even", "gbw"): (V.gain_bandwidth(), 0.15)}
 
 
 def _ops(s, d):
@@ -130,7 +131,7 @@ Q = {
         , w as (select *, lead(x) over v nx, lead(y) over v ny, row_number() over v = 1 f from series window v as (partition by series_id order by x)), r as (select distinct series_id, unnest([-5e0, 7.25e0, 1997.5e0, 9999e0]) a from series)
         select r.series_id, a as "at", round(case when nx is null or a <= x then y else y + (a - x) / (nx - x) * (ny - y) end, 6) y from r join w on r.series_id = w.series_id and (f or a >= x) and a < coalesce(nx, 'infinity'::double)"""),
     "evidence_sizing": (lambda s, d: V.sizing(ser(s, d).withColumn("at", F.col("x")), 5000.0, 2.0), "select series_id, x as \"at\", round(5000 / y, 6) multiplicity, round(5000 / y * 2, 6) total_width from series"),
-    "evidence_envelope": (lambda s, d: V.envelope(_ops(s, d), MODELS), f"""
+    "evidence_envelope": (lambda s, d: V.envelope(_ops(s, d), _models()), f"""
         , o as (select *, case metric when 'gbw' then gm / (2 * pi() * c) when 'gain_db' then case cls when 'odd' then 20 * log10(gm / (gds_n + gds_p)) end end p, case when metric = 'gbw' then case cls when 'odd' then 0.25 else 0.15 end when metric = 'gain_db' then case cls when 'odd' then 0.15 end end band from {_OPS} z),
         r as (select *, case when metric like '%\\_db' escape '\\' then pow(10e0, (measured - p) / 20) else measured / p end ratio from o)
         select id, metric, round(p, 6) predicted, round(ratio, 6) ratio, case when p is null then 'NA' when abs(ratio - 1) <= band then 'CONCUR' else 'VIOLATED' end status from r"""),

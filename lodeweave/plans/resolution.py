@@ -37,7 +37,16 @@ def forms(s, d):
     return pairs(s, d).withColumn("p", R.profile(F.col("name_a"), VOCAB)).withColumn("q", R.profile(F.col("name_b"), VOCAB))
 
 
-P, Q_ = F.col("p"), F.col("q")
+def P():
+    """The profile of a pair's first name."""
+    return F.col("p")
+
+
+def Q_():
+    """The profile of its second."""
+    return F.col("q")
+
+
 _MAP = "MAP {'psrr': 'power supply rejection', 'pm': 'phase margin', 'sr': 'slew rate', 'vos': 'input offset voltage'}"
 _KEYS, _STOPS, _SHORT = "['ringosc', 'curmir', 'tia']", "['and', 'to', 'the', 'of']", "['ab', 'pm']"
 _QUAL, _LOOSE, _DISC = "['core', 'pair']", "['buffer', 'amplifier', 'voltage', 'core', 'pair']", "['pseudo', 'fully', 'low', 'output']"
@@ -192,18 +201,18 @@ Q = {
     "er_normalize_name": (lambda s, d: view(s, d, "link_requests").select("match_text", R.normalize_name(F.col("match_text"), VOCAB).alias("norm")).distinct(), f"select distinct match_text, {_norm('match_text')} norm from link_requests"),
     "er_canonicalize_name": (lambda s, d: view(s, d, "link_requests").select("match_text", R.canonicalize_name(F.col("match_text")).alias("canon")).distinct(), f"select distinct match_text, {_canon('match_text')} canon from link_requests"),
     "er_salient_tokens": (lambda s, d: forms(s, d).select("id", *N, F.array_join(F.array_sort("q.entity"), " ").alias("tokens")), f"select id, name_a, name_b, array_to_string(list_sort(entb), ' ') tokens from {_FX} f"),
-    "er_token_jaccard": (lambda s, d: forms(s, d).select("id", *N, F.round(R.token_jaccard(P["norm"], Q_["norm"]), 6).alias("j")), f"select id, name_a, name_b, round({_JAC}, 6) j from {_FX} f"),
-    "er_name_similarity": (lambda s, d: forms(s, d).select("id", *N, F.round(R.name_similarity(P["norm"], Q_["norm"]), 6).alias("sim")), f"select id, name_a, name_b, round({_SIM}, 6) sim from {_FX} f"),
-    "er_names_conflict": (lambda s, d: forms(s, d).withColumn("j", R.token_jaccard(P["norm"], Q_["norm"])).select("id", *N, R.names_conflict(P, F.when(F.col("id") < "link_8", F.concat_ws(" near ", "name_b", "id")), Q_, F.when(F.col("id") > "link_4", F.col("name_a")), F.col("j")).alias("conflict")), f"""
+    "er_token_jaccard": (lambda s, d: forms(s, d).select("id", *N, F.round(R.token_jaccard(P()["norm"], Q_()["norm"]), 6).alias("j")), f"select id, name_a, name_b, round({_JAC}, 6) j from {_FX} f"),
+    "er_name_similarity": (lambda s, d: forms(s, d).select("id", *N, F.round(R.name_similarity(P()["norm"], Q_()["norm"]), 6).alias("sim")), f"select id, name_a, name_b, round({_SIM}, 6) sim from {_FX} f"),
+    "er_names_conflict": (lambda s, d: forms(s, d).withColumn("j", R.token_jaccard(P()["norm"], Q_()["norm"])).select("id", *N, R.names_conflict(P(), F.when(F.col("id") < "link_8", F.concat_ws(" near ", "name_b", "id")), Q_(), F.when(F.col("id") > "link_4", F.col("name_a")), F.col("j")).alias("conflict")), f"""
         , t as (select *, {_JAC} j, list_distinct(list_filter(string_split(na, ' '), lambda q: regexp_matches(q, '[0-9]'))) x, list_distinct(list_filter(string_split(nb, ' '), lambda q: regexp_matches(q, '[0-9]'))) y from {_FX} f)
         select id, name_a, name_b, (len(x) > 0 and len(y) > 0 and not {_SAMESET.format('x', 'y')}) or (j < 0.15 and not ((nb <> '' and coalesce(case when id < 'link_8' then contains(lower(name_b || ' near ' || id), nb) end, false)) or (na <> '' and coalesce(case when id > 'link_4' then contains(lower(name_a), na) end, false)))) conflict from t"""),
-    "er_numeric_conflict": (lambda s, d: forms(s, d).select("id", *N, R.numeric_conflict(P, Q_).alias("conflict")), f"select id, name_a, name_b, numeric_conflict conflict from {_RU} r"),
-    "er_qualifier_conflict": (lambda s, d: forms(s, d).select("id", *N, R.qualifier_conflict(P, Q_, VOCAB).alias("conflict")), f"select id, name_a, name_b, qualifier_conflict conflict from {_RU} r"),
-    "er_acronym_same": (lambda s, d: forms(s, d).select("id", *N, R.acronym_same(P, Q_).alias("same")), f"select id, name_a, name_b, acronym_same same from {_RU} r"),
-    "er_alias_same": (lambda s, d: forms(s, d).select("id", *N, R.alias_same(P, Q_).alias("same")), f"select id, name_a, name_b, alias_same same from {_RU} r"),
-    "er_same_entity": (lambda s, d: forms(s, d).select("id", *N, R.same_entity(P, Q_, VOCAB).alias("same")), f"select id, name_a, name_b, same from {_RU} r"),
-    "er_merge_tier": (lambda s, d: forms(s, d).select("id", *N, R.merge_tier(P, Q_, F.when(F.length("name_a") % 2 == 0, 0.9), VOCAB).alias("tier")), f"select id, name_a, name_b, {_tier('(case when length(name_a) % 2 = 0 then 0.9 end)')} tier from {_RU} r"),
-    "er_shadow_rule": (lambda s, d: forms(s, d).select("id", *N, R.shadow_rule(P, Q_, VOCAB).alias("rule")), f"select id, name_a, name_b, rule from {_RU} r"),
+    "er_numeric_conflict": (lambda s, d: forms(s, d).select("id", *N, R.numeric_conflict(P(), Q_()).alias("conflict")), f"select id, name_a, name_b, numeric_conflict conflict from {_RU} r"),
+    "er_qualifier_conflict": (lambda s, d: forms(s, d).select("id", *N, R.qualifier_conflict(P(), Q_(), VOCAB).alias("conflict")), f"select id, name_a, name_b, qualifier_conflict conflict from {_RU} r"),
+    "er_acronym_same": (lambda s, d: forms(s, d).select("id", *N, R.acronym_same(P(), Q_()).alias("same")), f"select id, name_a, name_b, acronym_same same from {_RU} r"),
+    "er_alias_same": (lambda s, d: forms(s, d).select("id", *N, R.alias_same(P(), Q_()).alias("same")), f"select id, name_a, name_b, alias_same same from {_RU} r"),
+    "er_same_entity": (lambda s, d: forms(s, d).select("id", *N, R.same_entity(P(), Q_(), VOCAB).alias("same")), f"select id, name_a, name_b, same from {_RU} r"),
+    "er_merge_tier": (lambda s, d: forms(s, d).select("id", *N, R.merge_tier(P(), Q_(), F.when(F.length("name_a") % 2 == 0, 0.9), VOCAB).alias("tier")), f"select id, name_a, name_b, {_tier('(case when length(name_a) % 2 = 0 then 0.9 end)')} tier from {_RU} r"),
+    "er_shadow_rule": (lambda s, d: forms(s, d).select("id", *N, R.shadow_rule(P(), Q_(), VOCAB).alias("rule")), f"select id, name_a, name_b, rule from {_RU} r"),
     "er_blocked_pairs": (lambda s, d: R.blocked_pairs(_concepts(s, d), VOCAB), _CF + " select * from bk"),
     "er_classified_pairs": (lambda s, d: _classified(s, d).withColumn("cos", F.round("cos", 6)).withColumn("sim", F.round("sim", 6)), _CP + " select * from cl"),
     "er_verifier_drain": (lambda s, d: R.drained(_classified(s, d).select("id_a", "id_b", "band"), R.blocked_pairs(_concepts(s, d), VOCAB).select("id_a", "id_b", F.when(F.col("id_a") < "topo_0080", "SAME").otherwise("DIFFERENT").alias("verdict"))), _CP + """
