@@ -1,6 +1,9 @@
 """Every query with SQL must equal it on the smallest data; every other one must run."""
 
 import glob
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -30,5 +33,11 @@ def test_query(spark, con, sf_dir, name):
         assert rows(df.columns, got) == rows([c[0] for c in r.description], r.fetchall())
 
 
+def test_queries_are_listed_without_a_session():
+    """Nothing builds columns at import time."""
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
