@@ -87,7 +87,7 @@ def why_law(laws: DataFrame, runs: DataFrame) -> DataFrame:
 def phrase_window(phrases: DataFrame, nodes: DataFrame, degrees: DataFrame, limit: int = 40) -> DataFrame:
     """(phrase, node_id, rank): nodes whose name holds a word of the phrase (of three letters at least, inside longer words too), by degree, then name.
 
-    Words meet names through an index of letter triples, so no name is compared with every phrase."""
+    Words meet names through an index of pieces of names, so no name is compared with every phrase."""
     from lodeweave.operators.retrieval import containing
 
     words = phrases.select("phrase", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("w"))

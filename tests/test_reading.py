@@ -35,6 +35,16 @@ def test_containing_is_every_substring(spark):
     assert got == {(p, i) for p in phrases if p for i, n in enumerate(names) if n and p.lower() in n.lower()}
 
 
+def test_pieces_of_names_are_never_broadcast(spark):
+    """Their table is many times the names, though its estimate is theirs."""
+    names = spark.range(50).selectExpr("id node_id", "concat('name of part ', id) name")
+    df = R.containing(spark.range(3).selectExpr("concat('part ', id) phrase"), names)
+    assert "BroadcastHashJoin [gram" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.phrase, r.node_id) for r in df.collect()} == {(f"part {i}", j) for i in range(3) for j in range(50) if str(j).startswith(str(i))}
+    long = spark.range(1).selectExpr("'Of pArt 4' phrase")
+    assert {r.node_id for r in R.containing(long, names).collect()} == {4, *range(40, 50)}
+
+
 def test_read_refuses_writes(spark, nodes):
     assert R.read(spark, "select count(*) n from {t} where label = :l", {"t": nodes}, {"l": "Memory"}).first().n == 1
     with pytest.raises(ValueError):
