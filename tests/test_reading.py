@@ -35,6 +35,22 @@ def test_containing_is_every_substring(spark):
     assert got == {(p, i) for p in phrases if p for i, n in enumerate(names) if n and p.lower() in n.lower()}
 
 
+def joined_rows(plan):
+    """The most rows that leave a join of a plan that ran."""
+    while "Adaptive" in plan.nodeName() or "QueryStage" in plan.nodeName():
+        plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan.plan()
+    own = plan.metrics().get("numOutputRows") if "Join" in plan.nodeName() else None
+    kids = plan.children()
+    return max([own.get().value() if own and own.isDefined() else 0, *(joined_rows(kids.apply(i)) for i in range(kids.size()))])
+
+
+def test_questions_meet_the_first_names_only(spark):
+    names = spark.range(400).selectExpr("'Concept' label", "cast(id as string) node_id", "concat('gain ', id) name", "false retracted")
+    df = R.context_nodes(spark.range(60).selectExpr("id query_id", "'gain' query"), names)
+    assert {(r.query_id, r.node_id) for r in df.collect()} == {(i, n) for i in range(60) for n in ("0", "1")}
+    assert joined_rows(df._jdf.queryExecution().executedPlan()) < 3000  # 24,000 pairs of question and name
+
+
 def test_pieces_of_names_are_never_broadcast(spark):
     """Their table is many times the names, though its estimate is theirs."""
     names = spark.range(50).selectExpr("id node_id", "concat('name of part ', id) name")
