@@ -61,6 +61,28 @@ def test_pieces_of_names_are_never_broadcast(spark):
     assert {r.node_id for r in R.containing(long, names).collect()} == {4, *range(40, 50)}
 
 
+def test_edges_of_other_nodes_are_not_shuffled(spark):
+    """Of 3,000 edges at nodes that no start has, only those with an equal hash reach the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    edges = spark.range(3000).selectExpr("concat('s', id) src_id", "'R' rel_type", "concat('d', id) dst_id")
+    df = G.neighbourhood(edges, spark.createDataFrame([("s7",), ("d9",)], "node_id string"), 1)
+    try:
+        assert {(r.start_id, r.node_id, r.direction) for r in df.collect()} == {("s7", "d7", "->"), ("d9", "s9", "<-")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled(plan):
+        while "Adaptive" in plan.nodeName():
+            plan = plan.executedPlan()
+        if "QueryStage" in plan.nodeName():
+            plan = plan.plan()
+        n = plan.metrics().get("shuffleRecordsWritten") if plan.nodeName() == "Exchange" else None
+        kids = plan.children()
+        return max([n.get().value() if n and n.isDefined() else 0, *(shuffled(kids.apply(i)) for i in range(kids.size()))])
+
+    assert shuffled(df._jdf.queryExecution().executedPlan()) < 600
+
+
 def test_read_refuses_writes(spark, nodes):
     assert R.read(spark, "select count(*) n from {t} where label = :l", {"t": nodes}, {"l": "Memory"}).first().n == 1
     with pytest.raises(ValueError):
