@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from lodeweave.session import cut
 
 THRESHOLD = 0.7
 MIN_WORDS = 8
-SAMPLE = 8  # one text of so many tells how common a word pair is; any order gives the same pairs
-BUCKETS = 1 << 22  # counts kept of the sample
+BUCKETS = 1 << 22  # counts kept of word pairs, by hash
+RANGE = 1 << 12  # buckets whose counts are sent in one piece
 HOT = 100_000  # texts with one word pair above which they are split
 EXPAND = 100  # copies of one text up to which all their pairs are listed
 
@@ -102,14 +103,42 @@ def _slices(batches, columns: list[str], budget: int = 1 << 23):
             yield batch.slice(lo, hi - lo)
 
 
+def _pieces(total):
+    """Counts as (range of buckets, packed counts) of the ranges that have any, each in the narrowest numbers that hold them."""
+    parts = total.reshape(-1, RANGE)
+    at = np.flatnonzero(parts.any(axis=1))
+    packed = [zlib.compress(p.astype(np.min_scalar_type(int(p.max()))).tobytes(), 1) for p in parts[at]]
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "n"])
+
+
+def _added(total, batch):
+    for part, packed in zip(batch["part"].to_pylist(), batch["n"].to_pylist()):
+        raw = zlib.decompress(packed)
+        total[part * RANGE : (part + 1) * RANGE] += np.frombuffer(raw, dtype=f"u{len(raw) // RANGE}").astype(np.int64)
+    return total
+
+
 def _counted(batches):
-    """Counts of word pairs by bucket."""
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    """Counts of word pairs by bucket: of every text, once in a task."""
+    total, seen = np.zeros(BUCKETS, dtype=np.int64), set()
     for batch in _slices(batches, ["content"]):
-        _, b = pair_sets(list(_split(batch.column("content"))[1]))
+        new = [i for i, c in enumerate(batch.column("class_id").to_pylist()) if not (c in seen or seen.add(c))]
+        _, b = pair_sets(list(_split(batch.column("content").take(pa.array(new, pa.int64())))[1]))
         total += np.bincount((b & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+    yield _pieces(total)
+
+
+def _summed(batches):
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        total = _added(total, batch)
+    yield _pieces(total)
+
+
+def word_pair_counts(records: DataFrame) -> np.ndarray:
+    """In how many texts a word pair of each bucket occurs, over all of them; a text that several tasks read counts once in each."""
+    each = prepared(records).select("class_id", "content").mapInArrow(_counted, "part int, n binary")
+    return _added(np.zeros(BUCKETS, dtype=np.int64), each.repartition("part").mapInArrow(_summed, "part int, n binary").toArrow())
 
 
 def _keys(batches, held, threshold, hot):
@@ -121,7 +150,7 @@ def _keys(batches, held, threshold, hot):
         d, b, place, n, low, high = prefixes(texts, common, threshold)
         cls = batch.column("class_id").to_numpy(zero_copy_only=False).astype(np.int64)[d]
         kind = np.array([xxhash.xxh64_intdigest(k) for k in kinds], dtype=np.uint64)[d]  # kinds never meet
-        parts = 1 + common[b & np.uint64(BUCKETS - 1)].astype(np.int64) * SAMPLE // hot
+        parts = 1 + common[b & np.uint64(BUCKETS - 1)].astype(np.int64) // hot
         # A hot word pair has groups for every two of its parts; a text is in all that have its own part.
         row = np.repeat(np.arange(len(d)), parts)
         other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -249,13 +278,10 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, hot: int =
     and parity maps of their whole sets allow the threshold. Before a candidate is verified on the whole texts,
     it must also share a word pair of its prefixes under two further global orders; none of these filters can drop a pair
     that reaches the threshold, so their intersection cannot either. The order comes from
-    the counts of a sample, which decide how many rows meet and not which pairs are found.
+    the counts of all texts, which decide how many rows meet and not which pairs are found.
     The rows of a word pair are read as a sorted stream, those of a hot one in parts.
     """
-    few = prepared(records).filter(F.pmod(F.xxhash64("class_id"), F.lit(SAMPLE)) == 0).groupBy("class_id").agg(F.first("content").alias("content"))
-    counts = few.select("content").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(BUCKETS, dtype=np.int32)
-    common[counts["bucket"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**31 - 1)
+    common = np.minimum(word_pair_counts(records), 2**31 - 1).astype(np.int32)
     held = records.sparkSession.sparkContext.broadcast(common)
     texts = prepared(records).groupBy("class_id").agg(F.first("content").alias("content"))
     keys = texts.select("class_id", "content").mapInArrow(lambda it: _keys(it, held, threshold, hot), "k long, class_id long, bits long, more long")

@@ -138,3 +138,13 @@ def test_further_orders_keep_every_pair_at_the_threshold():
     real = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
     assert {p for p, s in real.items() if s >= 0.7} <= set(got) and len(got) < len(pairs)
     assert all(abs(got[p] - real[p]) < 1e-9 for p in got)
+
+
+def test_counts_come_from_every_text(spark, rows):
+    """Each text counts, copies once in a task."""
+    df = spark.createDataFrame([*rows, *rows], S).coalesce(1)
+    texts = {(k, tuple(w)) for k, i, c, _ in rows if i is not None and len(w := N._WORD.findall((c or "").lower())) >= N.MIN_WORDS}
+    _, b = N.pair_sets([" ".join(w) for _, w in texts])
+    want = np.bincount((b & np.uint64(N.BUCKETS - 1)).astype(np.int64), minlength=N.BUCKETS)
+    assert (N.word_pair_counts(df) == want).all()
+    assert N._added(np.zeros(N.BUCKETS, np.int64), N._pieces(want * 70_000)).max() == want.max() * 70_000
