@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.survivorship import latest_rows
-from lodeweave.session import cut
 
 DIM = 64
 TABLES = 5
@@ -225,34 +224,252 @@ def _axis(a: np.ndarray) -> np.ndarray:
 
 
 NODE = 1 << 17  # vectors that one task holds at once, about 1.5 kB each while it works
-WORK = 1024  # vectors that one is compared with in a table, about
+BOUND = 1 << 14  # vectors among which the first bound of a k-th best is sought
+SAMPLE = 1 << 16  # vectors from which centres of cells are made at once
+CELLS = 1 << 13  # centres at most that one sample gives
+LINKED = 0.65  # a vector whose best cosine with a centre is below this is near none
+SLACK = 8  # neighbours kept beyond k until the exact cosines are known
+ROUND = 1e-5  # more than a product of two unit vectors of 32-bit floats can be off
+GROUPS = 64  # copies of a part at most, for many visitors
+WORK = 1024  # vectors that a block of others is multiplied with at once
 NONE = np.int64(-(2**63))
 
 
-def _bytes(a: np.ndarray) -> pa.Array:
-    a = np.ascontiguousarray(a)
-    width = a.shape[1] * a.itemsize
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(a), [None, pa.py_buffer(a.tobytes())]).cast(pa.binary())
+def _blobs(a: np.ndarray) -> pa.Array:
+    """Rows as binary values, bytes of equal weight next to each other, so that they compress."""
+    n, dim = a.shape
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(n, dim, a.itemsize).transpose(0, 2, 1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * a.itemsize), n, [None, pa.py_buffer(planes.tobytes())]).cast(pa.binary())
 
 
-def _packed(batches, dim):
-    """Usable embeddings as unit vectors of a byte per value, made where they are read, so that what is shuffled is small."""
+def _values(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    """The rows that ``_blobs`` packed."""
+    n, size = len(column), np.dtype(kind).itemsize
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(n, size, dim)
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view(kind).reshape(n, dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _hashes(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes."""
+    words = x.view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(7).integers(1, 2**63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = (words * odd).sum(axis=1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _raw(column: pa.Array, at: np.ndarray, dim: int, kind: str) -> np.ndarray:
+    """The stated rows, scaled by powers of two to one size, which changes no cosine; zeros have no sign."""
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+    x = np.asarray(flat, dtype=kind).reshape(-1, dim)
+    return np.ascontiguousarray(np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) + np.dtype(kind).type(0))
+
+
+def _components(v: np.ndarray, least: float) -> np.ndarray:
+    """A label for each row: rows with a cosine above ``least`` are linked."""
+    lab = np.arange(len(v))
+    while True:
+        new = lab.copy()
+        for lo in range(0, len(v), 512):
+            new[lo : lo + 512] = np.where(v[lo : lo + 512] @ v.T > least, lab[None, :], len(v)).min(axis=1, initial=len(v))
+        new = np.minimum(new, lab)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, lab):
+            return lab
+        lab = new
+
+
+def _centres(v: np.ndarray) -> np.ndarray:
+    """Centres of the dense regions of unit vectors: leaders further than ``LINKED`` from each other, moved to the means of what is nearest
+    to them, those of one region united."""
+    v = v.astype(np.float32)
+    leaders = np.zeros((0, v.shape[1]), dtype=np.float32)
+    for lo in range(0, len(v), 1024):
+        block = v[lo : lo + 1024]
+        block = block[(block @ leaders.T).max(axis=1, initial=-1) < LINKED]
+        while len(block) and len(leaders) < CELLS:
+            leaders = np.vstack([leaders, block[:1]])
+            block = block[1:][block[1:] @ block[0] < LINKED]
+    for turn in range(3):
+        if not len(leaders):
+            break
+        total, count = np.zeros(leaders.shape), np.zeros(len(leaders), dtype=np.int64)
+        for rows, s in _products(v, leaders):
+            own = s.argmax(axis=1)
+            near = s[np.arange(len(own)), own] >= LINKED
+            np.add.at(total, own[near], v[rows][near])
+            count += np.bincount(own[near], minlength=len(count))
+        dense = count >= 4
+        leaders = _unit(total[dense]).astype(np.float32)
+        if turn == 1:
+            lab = _components(leaders, 0.85)
+            leaders = _unit(np.array([total[dense][lab == x].sum(axis=0) for x in np.unique(lab)]).reshape(-1, v.shape[1])).astype(np.float32)
+    return leaders.astype(np.float64)
+
+
+def _products(a, b):
+    """(rows, their products with all of b) of a few rows at once, in one buffer that stays in the cache."""
+    few = max(16, (1 << 20) // max(1, len(b)))
+    out = np.empty((few, len(b)), dtype=np.float32)
+    for lo in range(0, len(a), few):
+        rows = slice(lo, min(len(a), lo + few))
+        yield rows, np.matmul(a[rows], b.T, out=out[: rows.stop - lo])
+
+
+class _Cells:
+    """Centres of dense regions; of each cell the vectors and the widest angle. What is near no centre is in the last cell, which all visit."""
+
+    def __init__(self, centres):
+        self.centres, self.short = centres, centres.astype(np.float32)
+        self.size, self.radius = np.zeros(len(centres) + 1), np.zeros(len(centres))
+
+    def place(self, u, measured):
+        """Each vector's cell and its angle to the centre; once the angles are ``measured``, none that is wider than the cell's."""
+        n = len(self.centres)
+        if not n:
+            return np.zeros(len(u), dtype=np.int64), np.zeros(len(u))
+        own = np.zeros(len(u), dtype=np.int64)
+        for rows, cos in _products(u.astype(np.float32), self.short):
+            cos.argmax(axis=1, out=own[rows])
+        best = np.einsum("nd,nd->n", u, self.centres[own])
+        angle = np.arccos(np.clip(best, -1, 1))
+        own = np.where(best < LINKED, n, own)
+        if measured:  # another rounding of the products may prefer another centre
+            for r in np.flatnonzero((own < n) & (angle > np.append(self.radius, np.pi)[own] + 1e-9)):
+                fits = np.flatnonzero(np.arccos(np.clip(self.centres @ u[r], -1, 1)) <= self.radius + 1e-9)
+                own[r] = fits[0] if len(fits) else n
+        return own, angle
+
+    def visits(self, u, own, least):
+        """Whether a cell other than its own may hold one of a vector's k best, of which the last has a cosine of ``least`` or more.
+
+        By the triangle inequality of angles: only if the angle to the centre is at most the cell's plus that of ``least``.
+        """
+        n = len(self.centres)
+        need = np.ones((len(u), n + 1), dtype=bool)
+        reach = np.arccos(np.clip(least - ROUND, -1, 1))
+        if n:
+            q = np.hstack([u, -np.cos(reach)[:, None], np.sin(reach)[:, None]]).astype(np.float32)
+            c = np.hstack([self.centres, np.cos(self.radius)[:, None], np.sin(self.radius)[:, None]]).astype(np.float32)
+            for rows, over in _products(q, c):
+                np.greater_equal(over, -3 * ROUND, out=need[rows, :n])
+            need[reach + self.radius.max() > np.pi - 0.01, :n] = True
+        need &= self.size > 0
+        need[np.arange(len(u)), own] = False
+        return need
+
+
+def _left(batches, cells, dim, kind):
+    """Unit vectors that are near no centre."""
     for batch in batches:
-        at, v = units(batch.column("embedding"), dim)
-        take = pa.array(at)
-        q = _quantised(v.astype(np.float32)) if len(at) else pa.array([], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("memory_id").take(take), batch.column("last_accessed").take(take), q], names=["memory_id", "last_accessed", "q"])
+        at, u = units(batch.column("embedding"), dim)
+        u = u[cells.place(u, False)[0] == len(cells.centres)].astype(np.float32)
+        yield pa.RecordBatch.from_arrays([_blobs(u)], names=["x"])
 
 
-def _coded(batches, table, levels):
-    """Each vector's key in a table: the nearest signed axis on each level."""
+def _census(batches, cells, dim):
+    """Of each cell the vectors and the widest angle, by batch."""
     for batch in batches:
-        v = _restored(batch.column("q").to_pylist()) if batch.num_rows else np.zeros((0, 1), np.float32)
-        key = np.zeros(len(v), dtype=np.int64)
-        for level in range(levels) if len(v) else ():
-            a = pseudo_rotated(v, table, level)
-            key = key * (2 * a.shape[1]) + _axis(a)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "q", "best")), pa.array(key)], names=["h", "q", "best", "bucket"])
+        _, u = units(batch.column("embedding"), dim)
+        own, angle = cells.place(u, False)
+        wide = np.zeros(len(cells.size))
+        np.maximum.at(wide, own, angle)
+        c, n = np.unique(own, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(wide[c])], names=["cell", "n", "angle"])
+
+
+def _cells(entries: DataFrame, dim: int, kind: str) -> _Cells:
+    """Centres from a sample, then from a sample of what is near none of them, and so on; sizes and angles are those of all vectors."""
+    raw = entries.filter("memory_id is not null and embedding is not null").select("memory_id", "embedding")
+    cells, left = _Cells(np.zeros((0, dim))), raw.count()
+    for _ in range(3):
+        every = max(1, -(-left // SAMPLE))
+        some = raw.filter(F.pmod(F.xxhash64("memory_id"), F.lit(every)) == 0) if every > 1 else raw
+        x = some.mapInArrow(lambda it, c=cells: _left(it, c, dim, kind), "x binary").toArrow().column("x")
+        found = _centres(_values(x, dim, "<f4").astype(np.float64))
+        cells = _Cells(np.vstack([cells.centres, found]))
+        for r in raw.mapInArrow(lambda it, c=cells: _census(it, c, dim), "cell int, n bigint, angle double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).collect():
+            cells.size[r["cell"]] = r["n"]
+            if r["cell"] < len(cells.radius):
+                cells.radius[r["cell"]] = r["angle"]
+        left = int(cells.size[-1])
+        if not len(found) or left <= cells.size.sum() / 500:
+            break
+    return cells
+
+
+def _placed(batches, cells, dim, kind):
+    """Each vector with its cell, large cells in parts of about ``BOUND`` by the hash of the id."""
+    parts = np.maximum(1, -(-cells.size // BOUND)).astype(np.int64)
+    for batch in batches:
+        at, u = units(batch.column("embedding"), dim)
+        own, _ = cells.place(u, True)
+        part = batch.column("r").to_numpy()[at] % parts[own]
+        yield pa.RecordBatch.from_arrays([pa.array((own << 32) | part), batch.column("id").take(pa.array(at)), _blobs(_raw(batch.column("embedding"), at, dim, kind))], names=["cell", "id", "x"])
+
+
+def _bound(u, x, k):
+    """A cosine that a vector's k-th best has at least, by the vectors given; 2 where more than k equal it: its k best are among them."""
+    _, first, same, count = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    v = u[first].astype(np.float32)
+    i = np.arange(len(v))
+    _, sims = _best_inside(i, v, np.full((len(v), k), NONE), np.full((len(v), k), -9.0, dtype=np.float32), 0, 0, k)
+    return np.where(count > k, 2.0, np.maximum(sims[:, -1], -1.0))[same]
+
+
+def _sent(batches, cells, k, dim, kind, parts, groups):
+    """From rows sorted by cell: each vector to its part of its cell (role 0), and as a visitor (role 1) to every other part that may hold one of its k best."""
+    place = lambda c, j, g: ((c << 32) | j) * GROUPS + g
+    for cell, ids, blobs in _runs(batches, 2 * BOUND):
+        x = _values(blobs, dim, kind)
+        u, h, least = _unit(x), _hashes(x), _bound(_unit(x), x, k)
+        for first in range(0, len(x), 2048):
+            some = slice(first, first + 2048)
+            own = np.full(len(x[some]), cell >> 32)
+            part = (h[some] % parts[own].astype(np.uint64)).astype(np.int64)
+            need = cells.visits(u[some], own, least[some])
+            need[:, cell >> 32] = parts[cell >> 32] > 1
+            need[least[some] > 1.5] = False
+            rows, to = np.divmod(np.flatnonzero(need), need.shape[1])
+            times = parts[to]
+            rows, to = np.repeat(rows, times), np.repeat(to, times)
+            j = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+            away = (to != own[rows]) | (j != part[rows])
+            rows, to, j = rows[away], to[away], j[away]
+            group = ((h[some][rows] >> np.uint64(12)) % groups[to].astype(np.uint64)).astype(np.int64)
+            times = groups[own]
+            here = np.repeat(np.arange(len(own)), times)
+            copy = np.arange(len(here)) - np.repeat(np.cumsum(times) - times, times)
+            item = np.concatenate([place(own[here], part[here], copy), place(to, j, group)])
+            role = np.repeat(np.array([0, 1], dtype=np.int8), [len(here), len(rows)])
+            who = np.concatenate([here, rows]) + first
+            for lo in range(0, len(who), 1 << 15):
+                w = pa.array(who[lo : lo + (1 << 15)])
+                yield pa.RecordBatch.from_arrays([pa.array(item[lo : lo + (1 << 15)]), pa.array(role[lo : lo + (1 << 15)]), ids.take(w), blobs.take(w)], names=["item", "role", "id", "x"])
+
+
+def _runs(batches, most):
+    """(cell, ids, x) of each cell in a stream sorted by it, of at most ``most`` rows at once."""
+    ids, blobs, at, size = [], [], None, 0
+    for batch in batches:
+        b = batch.column("cell").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(b)]):
+            lo, n = int(lo), int(hi - lo)
+            if ids and (b[lo] != at or size + n > most):
+                yield at, pa.concat_arrays(ids), pa.concat_arrays(blobs)
+                ids, blobs, size = [], [], 0
+            at, size = int(b[lo]), size + n
+            ids.append(batch.column("id").slice(lo, n))
+            blobs.append(batch.column("x").slice(lo, n))
+    if ids:
+        yield at, pa.concat_arrays(ids), pa.concat_arrays(blobs)
 
 
 def _merged(ids, sims, new_ids, new_sims, k):
@@ -265,127 +482,210 @@ def _merged(ids, sims, new_ids, new_sims, k):
     return np.take_along_axis(i, o, 1), np.take_along_axis(s, o, 1)
 
 
-def _top(v, h, asking, there, k):
-    """The k best of ``there`` for each of ``asking`` (places in v), never itself: ids and similarities."""
-    ids = np.full((len(asking), k), NONE)
-    sims = np.full((len(asking), k), -9.0, dtype=np.float32)
-    for first in range(0, len(there), 8192):  # blocks, so that a crowded axis costs no more memory
-        block = there[first : first + 8192]
-        for start in range(0, len(asking), 1024):
-            rows = asking[start : start + 1024]
-            s = v[rows] @ v[block].T
-            s[h[rows][:, None] == h[block][None, :]] = -9.0
-            keep = min(k, s.shape[1])
-            o = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            found = np.take_along_axis(s, o, 1)
-            new = np.where(found > -2, h[block][o], NONE)
-            at = slice(start, start + len(rows))
-            ids[at], sims[at] = _merged(ids[at], sims[at], new, found, k) if first or keep < k else (new, found)
+def _top(q, qh, base, bh, k, start=None):
+    """The k best of ``base`` for each row of q, never itself: ids and similarities. Every row meets every other; the first
+    ``WORK``, from ``start`` on, give the bound that the products with the others are compared with."""
+    ids = np.full((len(q), k), NONE)
+    sims = np.full((len(q), k), -9.0, dtype=np.float32)
+    n = len(base)
+    products, above = np.empty(512 * WORK, dtype=np.float32), np.empty(512 * WORK + 8, dtype=bool)
+    for lo in range(0, len(q), 512):
+        v, own, best, how = q[lo : lo + 512], qh[lo : lo + 512], ids[lo : lo + 512], sims[lo : lo + 512]
+        begin = 0 if start is None else max(0, min(n - WORK, start(lo)))
+        blocks = [(begin, min(n, begin + WORK)), *((b, min(begin, b + WORK)) for b in range(0, begin, WORK)), *((b, min(n, b + WORK)) for b in range(begin + WORK, n, WORK))]
+        met, waiting = [], 0
+        for first, last in blocks:
+            many = len(v) * (last - first)
+            s = np.matmul(v, base[first:last].T, out=products[:many].reshape(len(v), -1))
+            if first == begin:
+                keep = min(k + 1, last - first)
+                o = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                found, new = np.take_along_axis(s, o, 1), bh[first:last][o]
+                found[new == own[:, None]] = -9.0
+                o = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                new, found = np.take_along_axis(new, o, 1), np.take_along_axis(found, o, 1)
+                best[:, : o.shape[1]], how[:, : o.shape[1]] = np.where(found > -2, new, NONE), found
+                continue
+            np.greater_equal(s, how[:, -1:], out=above[:many].reshape(s.shape))
+            above[many : many + 8] = False
+            eights = np.flatnonzero(above[: -(-many // 8) * 8].view(np.uint64))
+            if not len(eights):
+                continue
+            hit = (eights[:, None] * 8 + np.arange(8)).ravel()
+            hit = hit[above[hit]]
+            r, c = hit // s.shape[1], first + hit % s.shape[1]
+            other = own[r] != bh[c]
+            met.append((r[other], c[other], products[hit[other]]))
+            waiting += len(hit)
+            if waiting > 8 * len(v):
+                _taken(met, best, how, bh, k)
+                met, waiting = [], 0
+        if met:
+            _taken(met, best, how, bh, k)
     return ids, sims
 
 
+def _taken(met, best, how, bh, k):
+    """Put (row, place, similarity) found since into the lists of the k best."""
+    r, c, f = (np.concatenate(x) for x in zip(*met))
+    some = np.unique(r)
+    r, f = np.concatenate([np.repeat(some, k), r]), np.concatenate([how[some].ravel(), f])
+    i = np.concatenate([best[some].ravel(), bh[c]])
+    o = np.lexsort((-f, r))
+    r, f, i = r[o], f[o], i[o]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    o = rank < k
+    best[r[o], rank[o]], how[r[o], rank[o]] = i[o], f[o]
+
+
 def _best_inside(h, v, ids, sims, table, level, k):
-    """The vectors of one bucket against one another: on the next level each visits the cross-polytope's likeliest signed
-    axes, so many that about ``WORK`` vectors are met; all of them where the bucket is no larger than four times that."""
-    n = len(h)
-    if n <= 4 * WORK:
-        every = np.arange(n)
-        return _merged(ids, sims, *_top(v, h, every, every, k), k)
-    a = pseudo_rotated(v, table, level)
-    code, width = _axis(a), 2 * a.shape[1]
-    probes = min(width, max(2, -(-WORK * width // n)))
-    both = np.empty((n, width), dtype=np.float32)
-    both[:, 0::2], both[:, 1::2] = a, -a
-    near = np.argpartition(-both, probes - 1, axis=1)[:, :probes].ravel()
-    order = np.argsort(near, kind="stable")
-    near = near[order]
-    base = np.argsort(code, kind="stable")
-    axes = np.arange(width)
-    lo, hi = np.searchsorted(code[base], axes), np.searchsorted(code[base], axes, side="right")
-    qlo, qhi = np.searchsorted(near, axes), np.searchsorted(near, axes, side="right")
-    new = np.full((n * probes, k), NONE)
-    how = np.full((n * probes, k), -9.0, dtype=np.float32)
-    for c in axes:
-        if hi[c] > lo[c] and qhi[c] > qlo[c]:
-            slots = order[qlo[c] : qhi[c]]
-            new[slots], how[slots] = _top(v, h, slots // probes, base[lo[c] : hi[c]], k)
-    return _merged(ids, sims, new.reshape(n, -1), how.reshape(n, -1), k)
-
-
-def _round(batches, table, level, k):
-    """Rows sorted by bucket: each bucket at once, in parts of ``NODE`` vectors where it is larger."""
-
-    def parts():
-        held, at = [], None
-        size = 0
-        for batch in batches:
-            b = batch.column("bucket").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(b)]):
-                if held and (b[lo] != at or size + hi - lo > NODE):
-                    yield pa.Table.from_batches(held)
-                    held, size = [], 0
-                at = b[lo]
-                held.append(batch.slice(int(lo), int(hi - lo)))
-                size += int(hi - lo)
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for t in parts():
-        h = t.column("h").to_numpy()
-        v = _restored(t.column("q").to_pylist())
-        raw = np.frombuffer(b"".join(t.column("best").to_pylist()), dtype=np.uint8).reshape(len(h), -1)
-        ids, sims = raw[:, : 8 * k].copy().view(np.int64), raw[:, 8 * k :].copy().view(np.float32)
-        ids, sims = _best_inside(h, v, ids, sims, table, level, k)
-        best = _bytes(np.hstack([ids.view(np.uint8).reshape(len(h), -1), sims.view(np.uint8).reshape(len(h), -1)]))
-        yield pa.RecordBatch.from_arrays([t.column("h").combine_chunks(), t.column("q").combine_chunks(), best], names=["h", "q", "best"])
-
-
-def _listed(batches, k):
+    """The vectors of one bucket against one another, all of them, however many: the nearest signed axes after a fast Hadamard
+    pseudo-rotation only set the order, so that a vector meets its likeliest neighbours first and the rest under their bound."""
+    order = np.argsort(_axis(pseudo_rotated(v.astype(np.float32), table, level)), kind="stable")
+    w, there = np.ascontiguousarray(v[order]), h[order]
+    new, how = _top(w, there, w, there, k, lambda lo: lo + 256 - WORK // 2)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return _merged(ids, sims, new[back], how[back], k)
+
+
+def _exact(q, base, base32, name, near, sims, k, inside):
+    """(row of q, row of base, cosine) of every vector that may be among a row's k best, ties by the rank of the ``name``: the nearest
+    by 32-bit products (``near``) are computed again; a row whose list may lack one of them meets the whole base again."""
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for lo in range(0, len(q), 4096):
+        n, v = near[lo : lo + 4096], q[lo : lo + 4096]
+        exact = np.where(n != NONE, np.einsum("qd,qkd->qk", v, base[np.maximum(n, 0)]), -9.0)
+        last = np.sort(exact, axis=1)[:, -k]
+        lacking = (n[:, -1] != NONE) & (sims[lo : lo + 4096, -1] >= last - 2 * ROUND)
+        r, c = np.nonzero((exact >= last[:, None]) & (n != NONE) & ~lacking[:, None])
+        out.append((lo + r, n[r, c], exact[r, c]))
+        for r in np.flatnonzero(lacking):
+            c = np.flatnonzero(base32 @ v[r].astype(np.float32) >= last[r] - 2 * ROUND)
+            c = c[c != lo + r] if inside else c
+            s = np.einsum("qd,qkd->qk", v[r : r + 1], base[c][None])[0]
+            o = np.lexsort((name[c], -s))[:k]
+            c, s = c[o], s[o]
+            out.append((np.full(len(c), lo + r), c, s))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+class _Part:
+    """The members of one part: each different vector once, with the k + 1 smallest of its ids."""
+
+    def __init__(self, ids, x, k, dim, kind):
+        x = _values(x, dim, kind)
+        new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+        self.ids, self.k = ids, k
+        self.first, self.size = new, np.diff(np.r_[new, len(x)])
+        self.v = _unit(x[new])
+        self.v32 = self.v.astype(np.float32)
+        self.name = pc.rank(ids.take(pa.array(new)), tiebreaker="dense").to_numpy(zero_copy_only=False)
+
+    def rows(self, r, c, s, asking, first, size, same):
+        """The k best ids, ties by id, of the members that ask: from (row, vector of the part, cosine), each vector with all its ids."""
+        n = self.size[c]
+        r, s = np.repeat(r, n), np.repeat(s, n)
+        i = np.repeat(self.first[c], n) + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+        n = size[r]
+        i, s = np.repeat(i, n), np.repeat(s, n)
+        q = np.repeat(first[r], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        if same:
+            i, s, q = i[i != q], s[i != q], q[i != q]
+        name = pc.rank(self.ids.take(pa.array(i)), tiebreaker="dense").to_numpy(zero_copy_only=False) if len(i) else i
+        o = np.lexsort((name, -s, q))
+        q, i, s = q[o], i[o], s[o]
+        o = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        return pa.RecordBatch.from_arrays([asking.take(pa.array(q[o])), self.ids.take(pa.array(i[o])), pa.array(s[o])], names=["query_id", "id", "similarity"])
+
+    def inside(self):
+        n, keep = len(self.v), self.k + SLACK
+        near, sims = _best_inside(np.arange(n), self.v32, np.full((n, keep), NONE), np.full((n, keep), -9.0, dtype=np.float32), 0, 0, keep)
+        r, c, s = _exact(self.v, self.v, self.v32, self.name, near, sims, self.k, True)
+        own = np.arange(n)
+        r, c, s = np.concatenate([r, own]), np.concatenate([c, own]), np.concatenate([s, np.einsum("qd,qkd->qk", self.v, self.v[:, None])[:, 0]])
+        for lo in range(0, n, 1 << 15):
+            some = (r >= lo) & (r < lo + (1 << 15))
+            yield self.rows(r[some], c[some], s[some], self.ids, self.first, self.size, True)
+
+    def visited(self, ids, x):
+        v = _unit(x)
+        near, sims = _top(v.astype(np.float32), np.full(len(v), -1), self.v32, np.arange(len(self.v)), self.k + SLACK)
+        r, c, s = _exact(v, self.v, self.v32, self.name, near, sims, self.k, False)
+        return self.rows(r, c, s, ids, np.arange(len(v)), np.ones(len(v), dtype=np.int64), False)
+
+
+def _meet(batches, k, dim, kind):
+    """Rows sorted by (item, role, x, id): the members of a part, then its visitors in any number. Of more than k + 1 equal
+    vectors those beyond are neighbours of nobody and have the first k as theirs, so they are not held."""
+    item = part = last = None
+    ids, blobs, run, seen = [], [], [], 0
+
+    def built():
+        return _Part(pa.concat_arrays(ids), pa.concat_arrays(blobs), k, dim, kind)
+
     for batch in batches:
-        n = batch.num_rows
-        raw = np.frombuffer(b"".join(batch.column("best").to_pylist()), dtype=np.uint8).reshape(n, -1) if n else np.zeros((0, 12 * k), np.uint8)
-        ids, sims = raw[:, : 8 * k].copy().view(np.int64).ravel(), raw[:, 8 * k :].copy().view(np.float32).ravel().astype(np.float64)
-        q, r = np.repeat(batch.column("h").to_numpy(), k), np.tile(np.arange(1, k + 1, dtype=np.int32), n)
-        ok = sims > -2
-        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(ids[ok]), pa.array(sims[ok]), pa.array(r[ok])], names=["qh", "h", "similarity", "rank"])
-
-
-def all_nearest(entries: DataFrame, k: int = 5, dim: int = DIM, tables: int = 6, node: int = NODE) -> DataFrame:
-    """(query_id, id, similarity, rank): for every memory with a usable embedding its k most similar other memories by cosine.
-
-    Every vector is index and query at once, so no probe is sent anywhere: in each table a vector goes once to the bucket of
-    its nearest signed axis after a fast Hadamard pseudo-rotation, a byte per value, with the k best neighbours it has so far; there it
-    visits the likeliest axes of a second cross-polytope, about ``WORK`` vectors whatever the size of the bucket, and takes
-    its improved list on to the next table. Per table that shuffles 136 bytes a vector. The first level has
-    one cross-polytope more for each factor of 128 by which the collection outgrows ``node`` vectors a
-    bucket, and a bucket that still holds more (a third of all vectors may be alike) is taken in parts of that size.
-    Similarities are of vectors rounded to a byte per value (off by 0.005 at most); ties go to the smaller hash of the id.
-    Recall is measured against brute force in the tests. Unusable embeddings take no part; fewer than k others give fewer rows.
+        items, role = batch.column("item").to_numpy(), batch.column("role").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (items[1:] != items[:-1]) | (role[1:] != role[:-1])]) if len(items) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(items)]):
+            lo, hi = int(lo), int(hi)
+            if items[lo] != item:
+                if part is None and ids and item % GROUPS == 0:
+                    yield from built().inside()
+                item, part, last, ids, blobs, run, seen = items[lo], None, None, [], [], [], 0
+            there, x = batch.column("id").slice(lo, hi - lo), batch.column("x").slice(lo, hi - lo)
+            if role[lo] == 1:
+                if part is None and ids:
+                    part = built()
+                    if item % GROUPS == 0:
+                        yield from part.inside()
+                for first in range(0, hi - lo, 4096) if part else ():
+                    yield part.visited(there.slice(first, 4096), _values(x.slice(first, 4096), dim, kind))
+                continue
+            v = _values(x, dim, kind)
+            new = np.r_[last is None or bool((v[0] != last).any()), (v[1:] != v[:-1]).any(axis=1)]
+            begun = np.flatnonzero(new)
+            nth = np.arange(len(v)) - np.r_[-seen, begun][np.cumsum(new)]
+            for beyond in np.split(np.flatnonzero(nth > k), np.flatnonzero(np.diff(np.flatnonzero(nth > k)) > 1) + 1):
+                if len(beyond) and item % GROUPS == 0:
+                    at = int(beyond[0] - nth[beyond[0]])  # where the run began; before this batch if negative
+                    names = [*run[: max(0, -at)], *there.slice(max(0, at), k).to_pylist()][:k] if at < 0 else there.slice(at, k).to_pylist()
+                    u = _unit(v[beyond[:1]])
+                    s = float(np.einsum("qd,qkd->qk", u, u[:, None])[0, 0])
+                    yield pa.RecordBatch.from_arrays([there.take(pa.array(np.repeat(beyond, k))), pa.array(names * len(beyond), there.type), pa.array(np.full(len(beyond) * k, s))], names=["query_id", "id", "similarity"])
+            held = pa.array(np.flatnonzero(nth <= k))
+            ids.append(there.take(held))
+            blobs.append(x.take(held))
+            tail = int(begun[-1]) if len(begun) else 0
+            run = [*([] if len(begun) else run), *there.slice(tail, k + 1).to_pylist()][: k + 1]
+            last, seen = v[-1], int(nth[-1]) + 1
+    if part is None and ids and item % GROUPS == 0:
+        yield from built().inside()
+
+
+def all_nearest(entries: DataFrame, k: int = 5, dim: int = DIM) -> DataFrame:
+    """(query_id, id, similarity, rank): for every memory with a usable embedding its k most similar other memories by cosine, exactly; ties by id.
+
+    Cells are dense regions, each with the centre that a sample gives it and, over all vectors, its widest angle. A vector
+    goes to the cell of its nearest centre and meets every vector there. Vectors of its cell bound its k-th best from below,
+    so by the triangle inequality of angles most other cells cannot hold any of its k best; it visits all that can. What is
+    near no centre forms a last cell, which all visit. So the sample changes how much is compared, never what is found:
+    vectors without dense regions are compared all with all. A cell of more than ``NODE`` vectors has several parts, each met by
+    all that need the cell. Products of 32-bit floats choose ``SLACK`` vectors too many, cosines in double precision
+    rank them; where these may be too few, the whole part is computed again.
+    Unusable embeddings take no part; fewer than k others give fewer rows.
     """
-    packed = entries.filter("memory_id is not null and embedding is not null").select("memory_id", "last_accessed", "embedding")
-    at = dict(packed.dtypes)["last_accessed"]
-    # A memory's latest row counts, usable or not, so the unusable ones stay as null until then.
-    usable_rows = packed.mapInArrow(lambda it: _packed(it, dim), f"memory_id string, last_accessed {at}, q binary")
-    early = F.lit("0001-01-01").cast(at)
-    newest = entries.filter("memory_id is not null").groupBy("memory_id").agg(F.max(F.coalesce("last_accessed", early)).alias("newest"))
-    rows = usable_rows.groupBy("memory_id", F.coalesce("last_accessed", early).alias("at")).agg(F.max("q").alias("q"))
-    named = rows.join(newest, "memory_id").filter("at = newest").select("memory_id", F.xxhash64("memory_id").alias("h"), "q")
-    named = cut(named)
-    blank = F.lit(bytes(np.hstack([np.full((1, k), NONE).view(np.uint8), np.full((1, k), -9.0, dtype=np.float32).view(np.uint8)]).tobytes()))
-    n = named.count()
-    levels = 1
-    while n / 128**levels > node:
-        levels += 1
-    state = named.select("h", "q", blank.alias("best"))
-    schema = "h bigint, q binary, best binary"
-    for table in range(tables):
-        keyed = state.mapInArrow(lambda it, t=table: _coded(it, t, levels), schema + ", bucket bigint")
-        met = keyed.repartition("bucket").sortWithinPartitions("bucket")
-        state = met.mapInArrow(lambda it, t=table: _round(it, t, levels, k), schema)
-    found = state.select("h", "best").mapInArrow(lambda it: _listed(it, k), "qh bigint, h bigint, similarity double, rank int")
-    names = named.select("h", "memory_id")
-    return found.join(names.withColumnRenamed("memory_id", "id"), "h").drop("h").join(names.select(F.col("h").alias("qh"), F.col("memory_id").alias("query_id")), "qh").select("query_id", "id", "similarity", "rank")
+    kind = "<f8" if dict(entries.dtypes)["embedding"] == "array<double>" else "<f4"
+    cells = _cells(entries, dim, kind)
+    parts = np.maximum(1, -(-cells.size // NODE)).astype(np.int64)
+    groups = np.ones(len(parts), dtype=np.int64)
+    groups[-1] = min(GROUPS, max(1, cells.size.sum() // (8 * max(cells.size[-1], NODE // 8))))  # all visit the last one
+    placed = usable(entries).withColumn("r", F.xxhash64("id")).mapInArrow(lambda it: _placed(it, cells, dim, kind), "cell bigint, id string, x binary")
+    sent = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _sent(it, cells, k, dim, kind, parts, groups), "item bigint, role tinyint, id string, x binary")
+    met = sent.repartition("item").sortWithinPartitions("item", "role", "x", "id")
+    found = met.mapInArrow(lambda it: _meet(it, k, dim, kind), "query_id string, id string, similarity double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

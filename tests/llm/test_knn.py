@@ -68,6 +68,38 @@ def test_every_vector_unusable_rows_and_hot_bucket(spark, monkeypatch):
     assert K.all_nearest(df.limit(0), 3).count() == 0
 
 
+def test_a_large_bucket_meets_itself_whole():
+    """Before, a bucket of over 4,096 vectors met about 1,024 of them."""
+    v = np.random.default_rng(11).normal(size=(5000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    h = np.arange(5000) * 3
+    got, _ = K._best_inside(h, v.astype(np.float32), np.full((5000, 5), K.NONE), np.full((5000, 5), -9.0, dtype=np.float32), 0, 1, 5)
+    s = v @ v.T
+    np.fill_diagonal(s, -9)
+    want = h[np.argsort(-s, axis=1)[:, :5]]
+    assert (np.sort(got) == np.sort(want)).all()
+
+
+@pytest.mark.parametrize("node, sample", [(1 << 17, 1 << 16), (64, 256)])
+def test_every_vector_exactly(spark, monkeypatch, node, sample):
+    """Regions, vectors near none, equal and opposite ones, ties by the dozen; one part a cell and many."""
+    monkeypatch.setattr(K, "NODE", node)
+    monkeypatch.setattr(K, "SAMPLE", sample)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(20, 64))[rng.integers(0, 20, 1200)] + 0.35 * rng.normal(size=(1200, 64))
+    axes = np.vstack([np.eye(64), -np.eye(64)])
+    v = np.vstack([v, rng.normal(size=(300, 64)), axes, np.tile(v[:1], (150, 1)), np.tile(v[1:2], (4, 1)), 2 * v[2:3], np.tile(axes[:1], (9, 1))]).astype(np.float32)
+    ids = np.array([f"m{i:04d}" for i in rng.permutation(len(v))])
+    got = K.all_nearest(spark.createDataFrame([(i, None, x.tolist()) for i, x in zip(ids, v)], S), 5).collect()
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -9)
+    want = {(ids[q], r + 1, ids[j]) for q in range(len(v)) for r, j in enumerate(np.lexsort((ids, -s[q]))[:5])}
+    assert {(r.query_id, r["rank"], r.id) for r in got} == want and len(got) == len(want)
+    at = {i: n for n, i in enumerate(ids)}
+    assert all(abs(r.similarity - s[at[r.query_id], at[r.id]]) < 1e-9 for r in got)
+
+
 def test_fast_transform_is_a_rotation():
     v = np.random.default_rng(3).normal(size=(4, 64)).astype(np.float32)
     assert np.allclose(np.linalg.norm(K.pseudo_rotated(v, 1, 2), axis=1), np.linalg.norm(v, axis=1), rtol=1e-4)
